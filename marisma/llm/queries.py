@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import canonical, confusables, duplicates, truncation
+from marisma.llm import canonical, confusables, duplicates, leakage, neighbours, scans, truncation
 from marisma.session import table
 
 
@@ -57,8 +57,44 @@ def p5_rates(spark: SparkSession, d: str) -> DataFrame:
     return truncation.cut_rates(_summaries(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return neighbours.neighbour_pairs(table(spark, d, "bulas_interacoes_embeddings"), "id", "embedding")
+
+
+def _scan_texts(spark: SparkSession, d: str) -> DataFrame:
+    section = table(spark, d, "bulas_interacoes").select(F.lit("bulas_interacoes").alias("tabela"), F.col("nome_normalizado").alias("chave"), F.col("trecho_interacoes").alias("texto"))
+    evidence = table(spark, d, "interacoes").select(F.lit("interacoes").alias("tabela"), F.col("id").cast("string").alias("chave"), F.col("evidencia").alias("texto"))
+    return section.unionByName(evidence)
+
+
+def _scans(spark: SparkSession, d: str) -> scans.Repair:
+    """The repair of both text columns; the catalogue's and the reference list's names are known words."""
+    names = table(spark, d, "bulas").select(F.col("nome_normalizado").alias("nome"))
+    terms = table(spark, d, "termos_referencia").select(F.col("termo").alias("nome"))
+    known = names.unionByName(terms).select(F.explode(F.regexp_extract_all(F.lower("nome"), F.lit(r"[\pL\pN]+"), F.lit(0))).alias("palavra"))
+    return scans.Repair(_scan_texts(spark, d), known)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).damage()
+
+
+def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
+    return _scans(spark, d).repaired()
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaked(table(spark, d, "documents"), table(spark, d, "itens_avaliacao"))
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    """Every item that leaked, with its affected documents and best alignment."""
+    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "itens_avaliacao")).where(F.col("corrida") >= leakage.RUN)
+    return found.groupBy("item_id").agg(F.count("*").alias("documentos"), F.max("corrida").alias("maior_corrida"), F.max("alinhamento").alias("maior_alinhamento"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates, p6_found, p7_found, p7_repaired, p9_found, p9_items)}
 
 
 def oracle_sql() -> dict[str, str]:
