@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.llm import canonical, confusables, duplicates, leakage, neighbours, scans, truncation
+from marisma.llm import canonical, confusables, duplicates, leakage, neighbours, packing, scans, subjects, truncation
 from marisma.session import table
 
 
@@ -83,6 +83,24 @@ def p7_repaired(spark: SparkSession, d: str) -> DataFrame:
     return _scans(spark, d).repaired()
 
 
+def _items(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pieces(packing.token_counts(table(spark, d, "documents"), "doc_id", "text"))
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(_items(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p8_buckets(spark: SparkSession, d: str) -> DataFrame:
+    """The optimal length buckets, and last, under limit 0, what the containers leave unused."""
+    counts = packing.histogram(_items(spark, d))
+    rows = packing.bucket_report(counts, packing.length_buckets(counts))
+    used, _ = packing.fill_plan(counts)
+    tokens = sum(s * c for s, c in counts.items())
+    rows.append((0, sum(counts.values()), tokens, used, 1 - tokens / max(1, used * packing.CAPACITY)))
+    return spark.createDataFrame(rows, "limite int, itens long, tokens long, recipientes long, sem_uso double")
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "itens_avaliacao"))
 
@@ -93,8 +111,20 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy("item_id").agg(F.count("*").alias("documentos"), F.max("corrida").alias("maior_corrida"), F.max("alinhamento").alias("maior_alinhamento"))
 
 
+def _subjects(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.subjects(table(spark, d, "documents"), table(spark, d, "rotulos_areas"), table(spark, d, "areas"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _subjects(spark, d).select("doc_id", "area")
+
+
+def p10_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_subjects(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates, p6_found, p7_found, p7_repaired, p9_found, p9_items)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates, p6_found, p7_found, p7_repaired, p8_containers, p8_buckets, p9_found, p9_items, p10_found, p10_composition)}
 
 
 def oracle_sql() -> dict[str, str]:
