@@ -53,7 +53,8 @@ def is_not_positive(evidence: Column, target: Column) -> Column:
     """Some clause about the target says absence and none recommends anything; null texts: no."""
     text = fold_name(F.regexp_replace(F.coalesce(evidence, F.lit("")), r"(?<=\pL)-\s*\n\s*(?=\pL)", ""))
     own = clauses_about(text, fold_target(F.coalesce(target, F.lit(""))))
-    return F.exists(own, lambda c: c.rlike(ABSENCE)) & ~F.exists(own, lambda c: c.rlike(RECOMMENDATION))
+    # A clause is a part of the text, so most texts are decided without being cut into clauses.
+    return F.when(text.rlike(ABSENCE), F.exists(own, lambda c: c.rlike(ABSENCE)) & ~F.exists(own, lambda c: c.rlike(RECOMMENDATION))).otherwise(F.lit(False))
 
 
 def amounts(folded: Column) -> Column:

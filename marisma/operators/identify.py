@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from marisma.functions.rules import ABSENCE, CLAUSE_END
 from marisma.functions.text import fold_name, fold_target, list_of, not_blank, quotation_key
 from marisma.operators.catalog import catalog_keys, key_words, substances, terms
+from marisma.session import cut_lineage, spread
 
 # Where a passage ends (blank line, list item, end of sentence before a capital).
 PASSAGE_END = r"\n[ \t]*\n|\n(?=[ \t]*[-•▪●◦*])|(?<=[.;])\s+(?=[A-ZÁÉÍÓÚÂÊÔÃÕÇ\d•▪●◦*-])"
 # Names cited as exceptions, and notices of excipients.
 EXCEPTION = r"\b(?:exceto|salvo|excluindo|com excecao d[aeo]s?|a excecao d[aeo]s?|mas nao)\b[^:;.()]*"
 EXCIPIENTS = r"^atencao:? ?contem\b|\bexcipientes?\b|\bcorantes?\b"
-MAX_WORDS, MAX_EVIDENCE, KEPT = 6, 1200, 3
+MAX_EVIDENCE, KEPT = 1200, 3
 
 
 def passages(source: DataFrame, key: str, text: str) -> DataFrame:
@@ -41,9 +42,10 @@ def dictionary_matches(parts: DataFrame, key: str, dictionary: DataFrame) -> Dat
     The candidates of one passage are folded in order by an aggregate that carries the next free
     position, so no window and no second shuffle is needed.
     """
+    longest = dictionary.agg(F.coalesce(F.max(F.size(F.split("termo", " "))), F.lit(1))).first()[0]
     grams = parts.select(key, "trecho", _words(F.col("texto")).alias("_w"))
     spans = F.flatten(
-        F.transform(F.sequence(F.lit(1), F.least(F.lit(MAX_WORDS), F.size("_w"))), lambda n: F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("inicio"), n.alias("palavras"), F.array_join(F.slice("_w", i + 1, n), " ").alias("termo"))))
+        F.transform(F.sequence(F.lit(1), F.least(F.lit(longest), F.size("_w"))), lambda n: F.transform(F.sequence(F.lit(0), F.size("_w") - n), lambda i: F.struct(i.alias("inicio"), n.alias("palavras"), F.array_join(F.slice("_w", i + 1, n), " ").alias("termo"))))
     )
     found = grams.where(F.size("_w") > 0).select(key, "trecho", F.explode(spans).alias("_s")).select(key, "trecho", "_s.*").join(dictionary.select("termo", "tipo"), "termo")
     item = F.struct("inicio", (-F.col("palavras")).alias("_n"), "palavras", "termo", "tipo")
@@ -63,9 +65,10 @@ def identify(source: DataFrame, catalog: DataFrame, ignored: list[str] | None =
     """(nome_normalizado, trecho, inicio, termo, tipo, motivo): every match with the reason of its
     rejection, null for accepted ones.  Reasons follow a fixed order; the first that holds counts."""
     key = "nome_normalizado"
-    parts = passages(source, key, "trecho_interacoes")
-    dictionary = terms(catalog).where(F.size(F.split("termo", " ")) <= MAX_WORDS)
-    found = dictionary_matches(parts, key, dictionary)
+    parts = passages(spread(source.select(key, "trecho_interacoes"), key), key, "trecho_interacoes")
+    dictionary = terms(catalog)
+    # Matches are narrow and read three times; they are written once.
+    found = cut_lineage(dictionary_matches(parts, key, dictionary))
     # Rules read the passage once; it is joined by its number, narrow rows to wide ones.
     text = parts.select(key, "trecho", "texto", fold_name(F.col("texto")).alias("_f"))
     rows = found.join(text, [key, "trecho"])

@@ -11,7 +11,7 @@ from marisma.functions import rules, text
 from marisma.operators import answers, audit, catalog, chunks, identify, packed, writes
 from marisma.plans import runs
 from marisma.schemas import run_checks
-from marisma.session import table
+from marisma.session import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -518,7 +518,8 @@ def text_passages(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def dictionary_matches(spark: SparkSession, d: str) -> DataFrame:
-    parts = identify.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
+    source = spread(table(spark, d, "bulas_interacoes").select("nome_normalizado", "trecho_interacoes"))
+    parts = identify.passages(source, "nome_normalizado", "trecho_interacoes")
     return identify.dictionary_matches(parts, "nome_normalizado", catalog.terms(table(spark, d, "bulas")))
 
 

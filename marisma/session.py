@@ -34,6 +34,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    A table of few files is read by few tasks; where rows cost much more than their transport, that
+    leaves cores idle.  A frame that has enough partitions already is returned as it is.
+    """
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+        return df
+    return df.repartition(wanted, *keys)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint, so that a lost executor re-reads it instead of recomputing.
 

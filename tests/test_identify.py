@@ -57,7 +57,7 @@ def test_passages(spark):
 def brute(words, terms):
     out, i = [], 0
     while i < len(words):
-        for n in range(min(6, len(words) - i), 0, -1):
+        for n in range(min(3, len(words) - i), 0, -1):
             if " ".join(words[i : i + n]) in terms:
                 out.append((i, n))
                 i += n
