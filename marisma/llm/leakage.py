@@ -13,6 +13,8 @@ document or item given twice counts once.  Whole texts are searched, whatever th
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -87,6 +89,19 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
+def stretches(places: list[int], length: int) -> list[tuple[int, int]]:
+    """Word ranges that hold every alignment through the seeds at ``places`` (sorted): seeds closer
+    than an item's length share one."""
+    out: list[tuple[int, int]] = []
+    for p in places:
+        first, last = max(0, p - length), p + SEED + length
+        if out and first <= out[-1][1]:
+            out[-1] = out[-1][0], last
+        else:
+            out.append((first, last))
+    return out
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "texto") -> DataFrame:
     """(item, doc, alinhamento, corrida) of every item and document that share a seed.
 
@@ -99,18 +114,19 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
     item_words = items.dropDuplicates([item]).where(F.col(item_text).isNotNull()).select(item, words(F.col(item_text)).alias("_iw"))
     hits = hits.join(item_words, item)
     texts = documents.where(F.col(doc_text).isNotNull()).select(doc, words(F.col(doc_text)).alias("_dw"))
-    # A stretch of an item's length before and after each seed holds every alignment through it.
-    stretch = lambda p: F.slice("_dw", F.greatest(p - F.size("_iw") + 1, F.lit(1)), 2 * F.size("_iw") + SEED)
-    pairs = texts.join(hits, doc).select(item, doc, "_iw", F.explode(F.transform("_pos", stretch)).alias("_trecho"))
+    pairs = texts.join(hits, doc).select(item, doc, "_iw", "_dw", "_pos")
 
-    def align(batches):
+    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for own, part in zip(batch["_iw"], batch["_trecho"]):
+            for own, theirs, places in zip(batch["_iw"], batch["_dw"], batch["_pos"]):
                 number = {w: n for n, w in enumerate(dict.fromkeys(own))}
                 a = np.array([number[w] for w in own])
-                b = np.array([number.get(w, -1) for w in part])
-                out.append((smith_waterman(a, b), longest_run(a, b)))
+                score = run = 0
+                for first, last in stretches([int(p) for p in places], len(own)):
+                    b = np.array([number.get(w, -1) for w in theirs[first:last]])
+                    score, run = max(score, smith_waterman(a, b)), max(run, longest_run(a, b))
+                out.append((score, run))
             yield pd.DataFrame({item: batch[item], doc: batch[doc], "alinhamento": [o[0] for o in out], "corrida": [o[1] for o in out]})
 
     scored = pairs.mapInPandas(align, f"{item} long, {doc} long, alinhamento int, corrida int")
