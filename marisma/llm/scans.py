@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marisma.llm.confusables import with_consistent_form
-from marisma.session import cut_lineage
+from marisma.session import cut_lineage, spread
 
 # Fixed values: (misread, true) strings that scanners confuse.
 CONFUSIONS = (
@@ -36,6 +36,8 @@ CONFUSIONS = (
 LEAST_TEXTS, UNSEEN = 3, 0.5
 #: A misread word's variant is in at least so many texts, and so many times more than the word.
 LEAST_VARIANT, LEAST_RATIO = 8, 5
+#: A known word is a variant of words that are no more frequent, or in at most so many texts.
+FEW = 2
 #: Least share of the best confusion's explained texts that a confusion must explain.
 LEAST_EVIDENCE = 0.03
 #: Words in at least this share of the texts; at most (mean distinct words of a text) / COMMON.
@@ -139,10 +141,10 @@ _VARIANTS = """
 SELECT r.palavra, r.n, v.palavra AS certa, v.n AS vezes, c.de, c.para
 FROM (SELECT palavra, n, {hash_r} AS h FROM {words} WHERE NOT aceita) r
 JOIN {pairs} c ON contains(r.palavra, c.de)
-JOIN (SELECT palavra, n + CASE WHEN aceita THEN {bonus} ELSE 0 END AS n, {hash_v} AS h FROM {words}
-      WHERE (n >= {least} OR aceita)) v
+JOIN (SELECT palavra, n, aceita, {hash_v} AS h FROM {words} WHERE n >= {least} OR aceita) v
   ON v.h = r.h + c.diferenca
-WHERE v.palavra <> r.palavra AND v.n >= {ratio} * r.n
+WHERE v.palavra <> r.palavra
+  AND ((v.n >= {least} AND v.n >= {ratio} * r.n) OR (v.aceita AND (r.n <= v.n OR r.n <= {few})))
   AND exists(sequence(1, length(r.palavra)), i -> substr(r.palavra, i, length(c.de)) = c.de
              AND concat(substr(r.palavra, 1, i - 1), c.para, substr(r.palavra, i + length(c.de))) = v.palavra)
 """
@@ -176,7 +178,7 @@ def corrections(words: DataFrame) -> DataFrame:
     """
     spark = words.sparkSession
     sql = _VARIANTS.replace("{hash_r}", _HASH.replace("{w}", "palavra")).replace("{hash_v}", _HASH.replace("{w}", "palavra"))
-    variants = cut_lineage(spark.sql(sql, words=words, pairs=F.broadcast(_pairs(words)), bonus=1_000_000, least=LEAST_VARIANT, ratio=LEAST_RATIO))
+    variants = cut_lineage(spark.sql(sql, words=words, pairs=F.broadcast(_pairs(words)), few=FEW, least=LEAST_VARIANT, ratio=LEAST_RATIO))
     ranked = spark.sql(_RANKED, variants=variants, share=LEAST_EVIDENCE)
     found = spark.sql(_CORRECTIONS, variants=variants, ranked=F.broadcast(ranked))
     signs = words.where(~F.col("aceita") & F.col("palavra").rlike(_INSIDE)).select("palavra", F.translate("palavra", *_SIGNS).alias("certa"))
@@ -191,7 +193,8 @@ class Repair:
 
     def __init__(self, texts: DataFrame, known: DataFrame | None = None):
         texts = texts.where(F.col("texto").isNotNull()).withColumn("texto", F.regexp_replace("texto", "­(?=[ \\t\\r]*\\n)", "¬"))
-        clean = with_consistent_form(texts, "texto", "_c").select("tabela", "chave", F.col("_c").alias("texto"))
+        # Six passes read the clean texts; their consistent form is made once.
+        clean = cut_lineage(with_consistent_form(spread(texts), "texto", "_c").select("tabela", "chave", F.col("_c").alias("texto")))
         self.bodies = cut_lineage(without_edges(clean))
         self.divided = divided_words(self.bodies)
         joined = self.bodies.withColumn("texto", F.regexp_replace("texto", _JOIN, ""))
