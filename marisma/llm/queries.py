@@ -127,5 +127,48 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates, p6_found, p7_found, p7_repaired, p8_containers, p8_buckets, p9_found, p9_items, p10_found, p10_composition)}
 
 
+def _sql_class(ranges: tuple) -> str:
+    return "".join(f"\\x{{{a:x}}}-\\x{{{b:x}}}" for a, b in ranges)
+
+
+_OTHER = r"[\p{Greek}\p{Cyrillic}\p{Armenian}\p{Cherokee}\p{Georgian}\p{Coptic}]"
+_UNSEEN = rf"[\p{{M}}{_sql_class(confusables.INVISIBLE)}]*"
+_P2 = rf"[{_sql_class(confusables.FULL_WIDTH + confusables.INVISIBLE + confusables.SPACES)}\p{{M}}]|\p{{Latin}}{_UNSEEN}{_OTHER}|{_OTHER}{_UNSEEN}\p{{Latin}}"
+
+
+def _sql_value(x: str) -> str:
+    marked = x
+    for sign, mark in (",", 57345), ("[.]", 57346):
+        for _ in range(2):  # digits between two signs belong to both
+            marked = rf"regexp_replace({marked}, '(\p{{N}}){sign}(\p{{N}})', '\1' || chr({mark}) || '\2', 'g')"
+    return rf"regexp_replace({marked}, '[^\p{{L}}\p{{N}}\x{{e001}}\x{{e002}}]+', '', 'g')"
+
+
+_P3 = rf"""WITH t AS (SELECT id, lower(evidencia) AS e, string_split(regexp_replace(lower(evidencia), '(^|[^\p{{L}}\p{{N}}])({"|".join(duplicates.LABELS)})\s*[:\x{{ff1a}}]', '\1' || chr(57344) || '\2' || chr(57347), 'g'), chr(57344)) AS p
+    FROM interacoes WHERE evidencia IS NOT NULL),
+  k AS (SELECT id, CASE WHEN len(p) > 2 THEN list_sort(list_filter(list_transform(p, lambda x: CASE WHEN contains(x, chr(57347)) THEN split_part(x, chr(57347), 1) || ':' || {_sql_value("split_part(x, chr(57347), 2)")} ELSE {_sql_value("x")} END), lambda x: x <> ''))
+    ELSE list_filter([{_sql_value("e")}], lambda x: x <> '') END AS campos FROM t),
+  g AS (SELECT id, min(id) OVER (PARTITION BY campos) AS id_mantido FROM k WHERE len(campos) > 0)
+SELECT id_mantido, id AS id_copia FROM g WHERE id <> id_mantido"""
+
+_P6 = """WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM bulas_interacoes_embeddings
+    WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+  n AS (SELECT a.id, b.id AS vizinho, row_number() OVER (PARTITION BY a.id ORDER BY list_cosine_similarity(a.e, b.e) DESC, b.id) AS k FROM v a JOIN v b ON a.id <> b.id)
+SELECT DISTINCT least(id, vizinho) AS id_a, greatest(id, vizinho) AS id_b FROM n WHERE k <= 5"""
+
+_P9 = rf"""WITH i AS (SELECT item_id, regexp_extract_all(lower(strip_accents(texto)), '[\p{{L}}\p{{N}}]+') AS w FROM itens_avaliacao),
+  d AS (SELECT doc_id, regexp_extract_all(lower(strip_accents(text)), '[\p{{L}}\p{{N}}]+') AS w FROM documents WHERE text IS NOT NULL),
+  gi AS (SELECT item_id, array_to_string(w[k : k + {leakage.RUN - 1}], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - {leakage.RUN - 2})) AS k FROM i)),
+  gd AS (SELECT doc_id, array_to_string(w[k : k + {leakage.RUN - 1}], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - {leakage.RUN - 2})) AS k FROM d))
+SELECT DISTINCT item_id, doc_id FROM gi JOIN gd USING (g)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries it can express on whole tables; the others are tested against brute force,
+    round trips or held-out labels."""
+    return {
+        "p2_found": f"SELECT id, 'alvo' AS campo FROM interacoes WHERE regexp_matches(alvo, '{_P2}') UNION SELECT id, 'evidencia' FROM interacoes WHERE regexp_matches(evidencia, '{_P2}')",
+        "p3_found": _P3,
+        "p6_found": _P6,
+        "p9_found": _P9,
+    }
