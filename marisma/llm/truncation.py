@@ -2,13 +2,15 @@
 
 Word n-grams are counted inside sentences and at their ends over all texts; the final n-gram of
 every text that stops without closing punctuation is joined to those counts and the text is cut
-where its end is frequent inside and almost never terminal.  Words that few texts use (names) are
+where its end is frequent inside and almost never terminal; an end that many other texts share
+without closing punctuation (a notice) counts as terminal.  Words that few texts use (names) are
 one class, so that the end of "antes de começar <name>" is judged by all names.  The trigram
 decides; a trigram that is both inner and terminal is settled by the longest of its 5- and 7-gram
 that was seen often enough.  An end never seen at all is a broken word if a longer word begins
-with it after the same two words.
+with it after the same two words, and a broken name if names stand there and never end a sentence.
 
-A mark of omission at the end is taken off before judging.  Null, empty and blank texts are no
+A broken character at the end is a cut whatever stands before it.  A mark of omission at the end is
+taken off before judging.  Null, empty and blank texts are no
 case; a complete text without final period is none either.
 """
 
@@ -95,15 +97,19 @@ _FOLLOWERS = """
 SELECT substring_index(g, ' ', 2) AS contexto, substring_index(g, ' ', -1) AS seguinte, dentro + fim AS vezes, solto
 FROM {counts}
 WHERE length(g) - length(replace(g, ' ', '')) = 2 AND substring_index(g, ' ', -1) <> '¤'
+UNION ALL SELECT contexto, palavra, 0, count(*) FROM {ends} GROUP BY contexto, palavra
 """
 
+# ``iguais``: other texts that stop at the same word after the same two without punctuation.
 _JUDGED = """
-SELECT e.tabela, e.id, e.contexto, e.palavra,
+SELECT e.tabela, e.id, e.contexto, e.palavra, q.iguais, e.g3 LIKE '% ¤' AS raro,
        coalesce(c7.dentro + c7.fim, 0) AS n7, coalesce(c7.fim, 0) AS t7,
        coalesce(c5.dentro + c5.fim, 0) AS n5, coalesce(c5.fim, 0) AS t5,
        coalesce(c3.dentro + c3.fim, 0) AS n3, coalesce(c3.fim, 0) AS t3,
-       coalesce(c3.solto, 0) AS s3
+       coalesce(cr.dentro + cr.fim, 0) AS nr, coalesce(cr.fim, 0) AS tr
 FROM {ends} e
+JOIN (SELECT contexto, palavra, count(*) - 1 AS iguais FROM {ends} GROUP BY contexto, palavra) q ON q.contexto = e.contexto AND q.palavra = e.palavra
+LEFT JOIN {counts} cr ON cr.g = concat(e.contexto, ' ¤')
 LEFT JOIN {counts} c3 ON c3.g = e.g3
 LEFT JOIN {counts} c5 ON c5.g = e.g5
 LEFT JOIN {counts} c7 ON c7.g = e.g7
@@ -111,20 +117,23 @@ LEFT JOIN {counts} c7 ON c7.g = e.g7
 
 _BROKEN = """
 SELECT DISTINCT j.contexto, j.palavra
-FROM (SELECT contexto, palavra, max(s3) AS s3 FROM {judged} WHERE n3 < {support} GROUP BY contexto, palavra) j
+FROM (SELECT contexto, palavra, max(iguais) AS iguais FROM {judged} WHERE n3 < {support} OR raro GROUP BY contexto, palavra) j
 JOIN {followers} f ON f.contexto = j.contexto AND f.seguinte <> j.palavra AND startswith(f.seguinte, j.palavra)
-WHERE f.vezes >= {support} OR f.solto > 5 * j.s3
+WHERE f.vezes >= {support} OR f.solto > 5 * (j.iguais + 1)
 """
 
 _CUT = """
-SELECT DISTINCT j.tabela, j.id FROM {judged} j
+SELECT tabela, id FROM {texts} WHERE texto LIKE '%\ufffd'
+UNION
+SELECT j.tabela, j.id FROM {judged} j
 LEFT JOIN {broken} b ON b.contexto = j.contexto AND b.palavra = j.palavra
 WHERE CASE
-  WHEN n3 >= {support} AND t3 < {terminal} * n3 THEN true
-  WHEN n3 >= {support} AND n7 >= {support} THEN t7 < {terminal} * n7
-  WHEN n3 >= {support} AND n5 >= {support} THEN t5 < {terminal} * n5
+  WHEN b.contexto IS NOT NULL THEN true
+  WHEN n3 >= {support} AND t3 + iguais < {terminal} * (n3 + iguais) THEN true
+  WHEN n3 >= {support} AND n7 >= {support} THEN t7 + iguais < {terminal} * (n7 + iguais)
+  WHEN n3 >= {support} AND n5 >= {support} THEN t5 + iguais < {terminal} * (n5 + iguais)
   WHEN n3 >= {support} THEN false
-  ELSE b.contexto IS NOT NULL
+  ELSE nr >= {support} AND tr + iguais < {terminal} * (nr + iguais)
 END
 """
 
@@ -158,9 +167,9 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     counts = cut_lineage(spark.sql(_COUNTS, grams=grams))
     ends = spark.sql(_ENDS, classed=classed)
     judged = spark.sql(_JUDGED, ends=ends, counts=counts)
-    followers = spark.sql(_FOLLOWERS, counts=counts)
+    followers = spark.sql(_FOLLOWERS, counts=counts, ends=ends)
     broken = spark.sql(_BROKEN, judged=judged, followers=followers, support=SUPPORT)
-    return spark.sql(_CUT, judged=judged, broken=broken, support=SUPPORT, terminal=TERMINAL)
+    return spark.sql(_CUT, texts=texts, judged=judged, broken=broken, support=SUPPORT, terminal=TERMINAL)
 
 
 def cut_rates(texts: DataFrame) -> DataFrame:
