@@ -30,16 +30,16 @@ CONFUSIONS = (
     ("@", "a"), ("0", "o"), ("1", "l"), ("1", "i"), ("5", "s"), ("6", "b"), ("8", "b"),
     ("l", "i"), ("i", "l"), ("c", "e"), ("e", "c"), ("f", "t"), ("t", "f"), ("rn", "m"), ("m", "rn"),
     ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("n", "u"), ("u", "n"),
-    ("h", "b"), ("b", "h"), ("â", "ã"), ("ã", "â"), ("o", "0"),
+    ("h", "b"), ("b", "h"), ("â", "ã"), ("ã", "â"), ("c,", "ç"),
 )
 #: An edge line recurs in at least so many texts; share of its words unseen in unbroken texts.
 LEAST_TEXTS, UNSEEN = 3, 0.5
 #: A misread word's variant is in at least so many texts, and so many times more than the word.
-LEAST_VARIANT, LEAST_RATIO = 8, 5
+LEAST_VARIANT, LEAST_RATIO = 3, 3
 #: A known word is a variant of words that are no more frequent, or in at most so many texts.
 FEW = 2
-#: Least share of the best confusion's explained texts that a confusion must explain.
-LEAST_EVIDENCE = 0.03
+#: Words in at least so many texts rank the confusions; least rate at which a string was misread.
+SOLID, LEAST_EVIDENCE = 20, 0.0003
 #: Words in at least this share of the texts; at most (mean distinct words of a text) / COMMON.
 COMMON = 0.002
 
@@ -133,8 +133,8 @@ _HASH = "aggregate(split({w}, ''), 0L, (s, c) -> s + CASE WHEN c = '' THEN 0L EL
 
 _TEXT_WORDS = r"""
 SELECT tabela, chave, palavra FROM (
-  SELECT tabela, chave, explode(array_distinct(regexp_extract_all(lower(texto), '[\\pL\\pN@]+', 0))) AS palavra FROM {joined})
-WHERE length(palavra) >= 2 AND palavra RLIKE '\\pL' AND NOT palavra RLIKE '^\\pN+\\pL{{1,3}}$|^\\pL{{1,3}}\\pN+$'
+  SELECT tabela, chave, explode(array_distinct(regexp_extract_all(lower(texto), '[\\pL\\pN@]+(?:(?<=c),(?=\\pL)[\\pL\\pN@]+)*', 0))) AS palavra FROM {joined})
+WHERE palavra RLIKE '\\pL' AND NOT palavra RLIKE '^\\pN+\\pL{{1,3}}$|^\\pL{{1,3}}\\pN+$'
 """
 
 _VARIANTS = """
@@ -149,18 +149,22 @@ WHERE v.palavra <> r.palavra
              AND concat(substr(r.palavra, 1, i - 1), c.para, substr(r.palavra, i + length(c.de))) = v.palavra)
 """
 
+# A confusion is ranked by how often its true string was misread: the texts it explains against the
+# texts with a frequent word that has the string, so that rare strings are not outweighed.
 _RANKED = """
-SELECT de, para FROM (SELECT de, para, sum(n) AS textos FROM {variants} GROUP BY de, para)
-WHERE textos >= {share} * (SELECT max(textos) FROM (SELECT sum(n) AS textos FROM {variants} GROUP BY de, para))
+SELECT e.de, e.para, e.textos, coalesce(o.textos, 0) AS chances
+FROM (SELECT de, para, sum(n) AS textos FROM {variants} WHERE vezes >= {solid} GROUP BY de, para) e
+JOIN (SELECT c.de, c.para, sum(w.n) AS textos FROM {words} w JOIN {pairs} c ON contains(w.palavra, c.para) WHERE w.n >= {solid} GROUP BY c.de, c.para) o
+  ON o.de = e.de AND o.para = e.para
 """
 
 _CORRECTIONS = """
 SELECT palavra, max_by(certa, vezes) AS certa FROM {variants} v
-JOIN {ranked} k ON k.de = v.de AND k.para = v.para GROUP BY palavra
+JOIN {ranked} k ON k.de = v.de AND k.para = v.para AND k.textos >= {share} * k.chances GROUP BY palavra
 """
 
 # A sign or digit inside letters is misread even where the true word is known nowhere.
-_INSIDE = r"(?:^|\pL)@\pL|\pL@|\pL{2}[0156]\pL{2}"
+_INSIDE = r"(?:^|\pL)@\pL|\pL@|^(?=(?:[^\pL]*\pL){5}).*\pL[0156]\pL"
 _SIGNS = ("@0156", "aolsb")
 
 
@@ -179,8 +183,8 @@ def corrections(words: DataFrame) -> DataFrame:
     spark = words.sparkSession
     sql = _VARIANTS.replace("{hash_r}", _HASH.replace("{w}", "palavra")).replace("{hash_v}", _HASH.replace("{w}", "palavra"))
     variants = cut_lineage(spark.sql(sql, words=words, pairs=F.broadcast(_pairs(words)), few=FEW, least=LEAST_VARIANT, ratio=LEAST_RATIO))
-    ranked = spark.sql(_RANKED, variants=variants, share=LEAST_EVIDENCE)
-    found = spark.sql(_CORRECTIONS, variants=variants, ranked=F.broadcast(ranked))
+    ranked = spark.sql(_RANKED, variants=variants, words=words, pairs=F.broadcast(_pairs(words)), solid=SOLID)
+    found = spark.sql(_CORRECTIONS, variants=variants, ranked=F.broadcast(ranked), share=LEAST_EVIDENCE)
     signs = words.where(~F.col("aceita") & F.col("palavra").rlike(_INSIDE)).select("palavra", F.translate("palavra", *_SIGNS).alias("certa"))
     return found.unionByName(signs.join(found, "palavra", "left_anti"))
 
@@ -203,7 +207,8 @@ class Repair:
         if known is None:
             words = counted.withColumn("aceita", F.lit(False))
         else:
-            words = counted.join(known.select("palavra", F.lit(True).alias("_k")).distinct(), "palavra", "left").select("palavra", "n", F.coalesce("_k", F.lit(False)).alias("aceita"))
+            right = known.select("palavra", F.lit(True).alias("_k")).distinct()
+            words = counted.join(right, "palavra", "full_outer").select("palavra", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_k", F.lit(False)).alias("aceita"))
         self.words = cut_lineage(words)
         self.corrections = cut_lineage(corrections(self.words))
 
