@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marisma.functions import rules, text
-from marisma.operators import answers, audit, catalog, chunks, identify, packed, writes
+from marisma.operators import answers, audit, catalog, chunks, identify, packed, sections, summaries, writes
 from marisma.plans import runs
 from marisma.schemas import run_checks
 from marisma.session import spread, table
@@ -511,7 +511,11 @@ def summary_fidelity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", rules.fidelity_flags(F.col("resumo"), F.col("evidencia")).alias("_f")).select("id", "_f.*")
 
 
-@query()
+@query(r"""WITH s AS (SELECT nome_normalizado, trecho_interacoes AS t FROM bulas_interacoes WHERE nullif(trim(trecho_interacoes, ' '), '') IS NOT NULL),
+    p AS (SELECT nome_normalizado, string_split(regexp_replace(regexp_replace(regexp_replace(t, '\n[ \t]*\n', chr(1), 'g'), '\n([ \t]*[-•▪●◦*])', chr(1) || '\1', 'g'),
+      '([.;])\s+([A-ZÁÉÍÓÚÂÊÔÃÕÇ\d•▪●◦*-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS v FROM s),
+    n AS (SELECT nome_normalizado, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS trecho FROM p)
+  SELECT nome_normalizado, trecho, trim(x, E' \n\r\t') AS texto FROM n WHERE trim(x, E' \n\r\t') <> ''""")
 def text_passages(spark: SparkSession, d: str) -> DataFrame:
     return identify.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
 
@@ -551,6 +555,75 @@ def rejection_histogram(spark: SparkSession, d: str) -> DataFrame:
     return found.groupBy(F.coalesce("motivo", F.lit("ACEITO")).alias("motivo")).agg(F.count("*").alias("n"))
 
 
+# ---------------------------------------------------------------- line documents and summaries
+
+
+def _lines(spark: SparkSession, d: str) -> DataFrame:
+    return sections.line_table(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
+
+
+@query()
+def section_titles(spark: SparkSession, d: str) -> DataFrame:
+    return sections.title_lines(_lines(spark, d))
+
+
+@query()
+def section_extraction(spark: SparkSession, d: str) -> DataFrame:
+    return sections.sections(_lines(spark, d))
+
+
+@query(r"""WITH l AS (SELECT nome_normalizado AS doc, list_filter(string_split_regex(trecho_interacoes, '\r?\n'), lambda x: trim(x, ' ') <> '') AS v FROM bulas_interacoes WHERE trecho_interacoes IS NOT NULL)
+  SELECT doc, len(v) AS linhas, list_max(list_transform(v, lambda x: length(x))) AS maior FROM l WHERE len(v) > 0""")
+def line_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return _lines(spark, d).groupBy("doc").agg(F.count("*").alias("linhas"), F.max(F.length("texto")).alias("maior"))
+
+
+@query()
+def card_origins(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.card_origins(table(spark, d, "interacoes"))
+
+
+@query()
+def merged_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = summaries.merged_lines(table(spark, d, "interacoes"))
+    return rows.withColumn("paragrafo", summaries.effect_paragraph(F.col("linha")))
+
+
+@query("""SELECT processamento_id, alvo, tipo_alvo, min(id) AS lider, count(*) AS registros,
+    count(*) FILTER (WHERE coalesce(json_extract_string(reescrita_controle, '$.publicado.status') <> 'CONCLUIDO', true) OR nullif(trim(resumo_card_simples, ' '), '') IS NULL) AS pendentes
+  FROM interacoes WHERE nullif(trim(resumo_card, ' '), '') IS NOT NULL GROUP BY 1, 2, 3""")
+def rewrite_units(spark: SparkSession, d: str) -> DataFrame:
+    return summaries.rewrite_units(table(spark, d, "interacoes"))
+
+
+@query("""WITH m AS (SELECT user_id, event_type, event_id AS ini, event_id + CAST(floor(value) AS BIGINT) % 50 AS fim FROM events)
+  SELECT user_id, event_type, ini, fim FROM (SELECT *, max(fim) OVER (PARTITION BY user_id, event_type ORDER BY ini, fim DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mx FROM m) WHERE mx IS NULL OR fim > mx""")
+def consolidated_spans(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "events").select("user_id", "event_type", F.col("event_id").alias("ini"), (F.col("event_id") + F.floor("value") % 50).alias("fim"))
+    kept = summaries.consolidated(rows.withColumn("_x", F.col("ini").cast("string")), ["user_id", "event_type"], "ini", "fim", "_x")
+    return kept.drop("_x")
+
+
+@query()
+def response_checks(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "interacoes").where(F.col("resumo_card_simples").isNotNull())
+    return rows.select("id", summaries.response_flags(F.col("resumo_card_simples")).alias("_f")).select("id", "_f.*")
+
+
+@query("""SELECT id, coalesce(nullif(trim(resumo_card_simples, ' '), '') IS NOT NULL AND json_extract_string(reescrita_controle, '$.publicado.status') = 'CONCLUIDO'
+    AND coalesce(json_extract_string(reescrita_controle, '$.entrada_invalidada') <> 'true', true), false) AS atual FROM interacoes""")
+def plain_validity(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "interacoes")
+    return rows.select("id", summaries.plain_is_current(F.col("resumo_card_simples"), F.col("reescrita_controle"), F.sha2("evidencia", 256)).alias("atual"))
+
+
+@query()
+def control_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "interacoes")
+    merged = summaries.json_merge(F.col("reescrita_controle"), F.lit('{"ultima_tentativa":{"status":"PENDENTE"}}'))
+    return rows.select("id", merged.alias("controle")).withColumn("hash", summaries.canonical_hash("controle"))
+
+
 # ---------------------------------------------------------------- chunks and vectors
 
 
