@@ -32,8 +32,9 @@ CONFUSIONS = (
     ("ii", "u"), ("u", "ii"), ("cl", "d"), ("d", "cl"), ("vv", "w"), ("n", "u"), ("u", "n"),
     ("h", "b"), ("b", "h"), ("â", "ã"), ("ã", "â"), ("c,", "ç"),
 )
-#: An edge line recurs in at least so many texts; share of its words unseen in unbroken texts.
-LEAST_TEXTS, UNSEEN = 3, 0.5
+#: An edge line recurs in at least so many, and such a share, of the broken texts; share of its
+#: words unseen in unbroken texts.
+LEAST_TEXTS, LEAST_SHARE, UNSEEN = 3, 0.0005, 0.5
 #: A misread word's variant is in at least so many texts, and so many times more than the word.
 LEAST_VARIANT, LEAST_RATIO = 3, 3
 #: A known word is a variant of words that are no more frequent, or in at most so many texts.
@@ -43,14 +44,14 @@ SOLID, LEAST_EVIDENCE = 20, 0.0003
 #: Words in at least this share of the texts; at most (mean distinct words of a text) / COMMON.
 COMMON = 0.002
 
-_PAGE = r"^\W*(?:p[aá]g(?:ina|\.)?\s*)?#(?:\s*(?:/|de)\s*#)?\W*$"
+_PAGE = r"^[\s|–—-]*(?:p[aá]g(?:ina|\.)?\s*)?#(?:\s*(?:/|de)\s*#)?[\s|–—-]*$"
 _BREAK = r"(\\pL+)([-¬‐])[ \\t\\r]*\\n[ \\t]*(\\pL+)"
 _JOIN = r"(?<=\pL)[-\x{ac}\x{2010}][ \t\r]*\n[ \t]*(?=\pL)"
 
 
 def _lines(texts: DataFrame) -> DataFrame:
     """(tabela, chave, i, linha, mascara) of the texts that have line breaks."""
-    rows = texts.where(F.col("texto").contains("\n")).select("tabela", "chave", F.posexplode(F.split("texto", r"\r?\n")).alias("i", "linha"))
+    rows = texts.where(F.col("texto").contains("\n")).select("tabela", "chave", F.posexplode(F.split(F.regexp_replace("texto", r"^\s+", ""), r"\r?\n")).alias("i", "linha"))
     return rows.withColumn("mascara", F.lower(F.trim(F.regexp_replace("linha", r"\d+", "#"))))
 
 
@@ -61,14 +62,14 @@ GROUP BY palavra
 """
 
 _RECURRENT = r"""
-SELECT mascara FROM {lines} WHERE i > 0 AND linha RLIKE '\\pL' AND NOT linha RLIKE '^\\PL*\\p{{Ll}}' AND length(mascara) <= 100
+SELECT mascara FROM {lines} WHERE i > 0 AND linha RLIKE '\\pL' AND NOT linha RLIKE '^\\PL*\\p{{Ll}}' AND NOT linha RLIKE '[-¬‐]\\s*$' AND length(mascara) <= 100
 GROUP BY mascara HAVING count(DISTINCT tabela, chave) >= {least}
 """
 
 _EDGE_LINES = r"""
 SELECT mascara FROM (
   SELECT r.mascara, r.palavra, w.palavra IS NULL AS nova
-  FROM (SELECT mascara, explode(regexp_extract_all(mascara, '\\pL+', 0)) AS palavra FROM {recurrent}) r
+  FROM (SELECT mascara, explode(regexp_extract_all(mascara, '(?<![\\pL\\pN@#])\\pL+(?![\\pL\\pN@#])', 0)) AS palavra FROM {recurrent}) r
   LEFT JOIN {unbroken} w ON w.palavra = r.palavra)
 GROUP BY mascara HAVING count_if(nova) >= {unseen} * count(*)
 """
@@ -78,7 +79,8 @@ def edge_lines(texts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(lines of the broken texts, the lines among them that are headers, footers or page numbers)."""
     spark = texts.sparkSession
     lines = _lines(texts)
-    recurrent = spark.sql(_RECURRENT, lines=lines, least=LEAST_TEXTS)
+    least = max(float(LEAST_TEXTS), LEAST_SHARE * texts.where(F.col("texto").contains("\n")).count())
+    recurrent = spark.sql(_RECURRENT, lines=lines, least=least)
     unbroken = spark.sql(_UNBROKEN_WORDS, texts=texts)
     running = spark.sql(_EDGE_LINES, recurrent=recurrent, unbroken=unbroken, unseen=UNSEEN).withColumn("_r", F.lit(True))
     marked = lines.join(running, "mascara", "left")
