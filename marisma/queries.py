@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marisma.functions import rules, text
-from marisma.operators import answers, audit, catalog, chunks, identify, packed, sections, summaries, writes
+from marisma.operators import answers, audit, catalog, chunks, identify, packed, sections, summaries, validate, writes
 from marisma.plans import runs
 from marisma.schemas import run_checks
 from marisma.session import spread, table
@@ -520,6 +520,29 @@ def text_passages(spark: SparkSession, d: str) -> DataFrame:
     return identify.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
 
 
+@query()
+def target_verdicts(spark: SparkSession, d: str) -> DataFrame:
+    return validate.target_verdicts(table(spark, d, "interacoes"), table(spark, d, "bulas"))
+
+
+@query()
+def summary_grounding(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "interacoes")
+    return rows.select("id", validate.grounding_flags(F.col("resumo"), F.col("evidencia")).alias("_f")).select("id", "_f.*")
+
+
+@query("""WITH l AS (SELECT nome_normalizado, list_filter(string_split_regex(trecho_interacoes, '\\r?\\n'), lambda x: trim(x, ' ') <> '') AS v FROM bulas_interacoes WHERE trecho_interacoes IS NOT NULL),
+    u AS (SELECT nome_normalizado AS doc, unnest(v) AS texto, generate_subscripts(v, 1) - 1 AS n FROM l),
+    t AS (SELECT *, regexp_replace(texto, '[^\\p{L}]', '', 'g') AS k FROM u),
+    m AS (SELECT doc, n, texto, CASE WHEN length(texto) <= 110 AND NOT regexp_matches(texto, '[.;,:]$')
+      AND ((length(k) >= 4 AND upper(k) = k) OR regexp_matches(texto, '^\\d{1,2}(?:\\.\\d{1,2})*[.)]?\\s+\\S')) THEN texto END AS titular FROM t)
+  SELECT doc, n, texto, lag(texto) OVER w AS anterior, lead(texto) OVER w AS seguinte,
+    last_value(titular IGNORE NULLS) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS titulo
+  FROM m WINDOW w AS (PARTITION BY doc ORDER BY n)""".replace("\\\\", "\\"))
+def unit_context(spark: SparkSession, d: str) -> DataFrame:
+    return validate.unit_context(_lines(spark, d), "doc", "n", "texto")
+
+
 @query()
 def dictionary_matches(spark: SparkSession, d: str) -> DataFrame:
     source = spread(table(spark, d, "bulas_interacoes").select("nome_normalizado", "trecho_interacoes"))
