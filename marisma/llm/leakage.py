@@ -89,17 +89,19 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def stretches(places: list[int], length: int) -> list[tuple[int, int]]:
-    """Word ranges that hold every alignment through the seeds at ``places`` (sorted): seeds closer
-    than an item's length share one."""
-    out: list[tuple[int, int]] = []
-    for p in places:
-        first, last = max(0, p - length), p + SEED + length
-        if out and first <= out[-1][1]:
-            out[-1] = out[-1][0], last
-        else:
-            out.append((first, last))
-    return out
+def stretches(places: Column, length: Column) -> Column:
+    """array<struct<ini, fim>>: word ranges that hold every alignment through the seeds at ``places``
+    (sorted); seeds closer than an item's length share one."""
+    kind = "array<struct<ini:int,fim:int>>"
+
+    def add(acc: Column, p: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        first, end = F.greatest(p - length, F.lit(0)), p + length + SEED
+        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["ini"].alias("ini"), end.alias("fim"))))
+        apart = F.concat(acc, F.array(F.struct(first.alias("ini"), end.alias("fim"))))
+        return F.when(F.coalesce(first <= last["fim"], F.lit(False)), joined).otherwise(apart).cast(kind)
+
+    return F.aggregate(places, F.array().cast(kind), add)
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "texto") -> DataFrame:
@@ -114,19 +116,17 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
     item_words = items.dropDuplicates([item]).where(F.col(item_text).isNotNull()).select(item, words(F.col(item_text)).alias("_iw"))
     hits = hits.join(item_words, item)
     texts = documents.where(F.col(doc_text).isNotNull()).select(doc, words(F.col(doc_text)).alias("_dw"))
-    pairs = texts.join(hits, doc).select(item, doc, "_iw", "_dw", "_pos")
+    # Only the stretches go to Python: a long document is never a row there.
+    pairs = texts.join(hits, doc).select(item, doc, "_iw", "_dw", F.explode(stretches(F.col("_pos"), F.size("_iw"))).alias("_s"))
+    pairs = pairs.select(item, doc, "_iw", F.slice("_dw", F.col("_s.ini") + 1, F.col("_s.fim") - F.col("_s.ini")).alias("_trecho"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
-            for own, theirs, places in zip(batch["_iw"], batch["_dw"], batch["_pos"]):
+            for own, part in zip(batch["_iw"], batch["_trecho"]):
                 number = {w: n for n, w in enumerate(dict.fromkeys(own))}
-                a = np.array([number[w] for w in own])
-                score = run = 0
-                for first, last in stretches([int(p) for p in places], len(own)):
-                    b = np.array([number.get(w, -1) for w in theirs[first:last]])
-                    score, run = max(score, smith_waterman(a, b)), max(run, longest_run(a, b))
-                out.append((score, run))
+                a, b = np.array([number[w] for w in own]), np.array([number.get(w, -1) for w in part])
+                out.append((smith_waterman(a, b), longest_run(a, b)))
             yield pd.DataFrame({item: batch[item], doc: batch[doc], "alinhamento": [o[0] for o in out], "corrida": [o[1] for o in out]})
 
     scored = pairs.mapInPandas(align, f"{item} long, {doc} long, alinhamento int, corrida int")
