@@ -196,7 +196,9 @@ def _class_neighbours(reps: DataFrame, k: int, list_size: int) -> DataFrame:
     sizes = posted.groupBy("lista").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocos"))
     # At most MAX_LISTS rows: the one side whose size does not depend on the data.
     rows = posted.join(F.broadcast(sizes), "lista").withColumn("b", F.pmod(F.xxhash64("id"), F.col("blocos")).cast("int"))
-    cells = F.transform(F.sequence(F.lit(0), F.col("blocos") - 1), lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
+    # A cell of two blocks compares all of its rows, so cells of one block only exist for short lists.
+    others = F.filter(F.sequence(F.lit(0), F.col("blocos") - 1), lambda o: (o != F.col("b")) | (F.col("blocos") == 1))
+    cells = F.transform(others, lambda o: F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))
     rows = rows.withColumn("_c", F.explode(cells)).select("lista", "_c.i", "_c.j", "id", "v")
     met = rows.groupBy("lista", "i", "j").applyInPandas(_best_in_cell(k), "id long, vizinho long, cosseno double")
     return _top(met, k)
