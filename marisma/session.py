@@ -46,6 +46,11 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(wanted, *keys)
 
 
+def is_small(df: DataFrame, most: int) -> bool:
+    """Whether a frame has at most ``most`` rows; a count that stops early.  Guards a broadcast."""
+    return df.limit(most + 1).count() <= most
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint, so that a lost executor re-reads it instead of recomputing.
 
