@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marisma.session import cut_lineage
+from marisma.session import cut_lineage, is_small
 
 # The labels of statements made of fields.
 LABELS = ("medicamento", "efeito", "conduta", "dados")
@@ -24,6 +24,8 @@ LABELS = ("medicamento", "efeito", "conduta", "dados")
 PRIME = (1 << 61) - 1
 #: Rows of one group are spread over so many keys when they meet their representative.
 SALTS = 16
+#: Up to so many groups (three numbers each) are broadcast to find their rows; beyond, a salted join.
+MAX_BROADCAST_GROUPS = 500_000
 
 _LABEL = rf"(?i)(?<![\p{{L}}\p{{N}}])({'|'.join(LABELS)})\s*[:\x{{ff1a}}]"
 _MARK = "\ue000"
@@ -70,20 +72,25 @@ def statement_groups(df: DataFrame, key: str, text: str) -> DataFrame:
     """(id_mantido, id_membro) of every row that has a copy, the kept row included.
 
     One shuffle of (key, two longs) finds the groups, with partial aggregation, so a group that
-    holds a third of all rows arrives as one row per task.  Only rows of such groups carry their
-    fields further; a hot group is salted over ``SALTS`` keys.
+    holds a third of all rows arrives as one row per task.  Where the groups are few enough to be
+    broadcast, only rows of groups carry their fields further; a hot group is salted over ``SALTS``
+    keys.
     """
     rows = df.select(F.col(key).alias("id"), F.col(text).alias("_t")).where(F.col("_t").isNotNull())
     rows = rows.select("id", statement_fields(F.col("_t")).alias("campos"))
     rows = rows.withColumn("h", fingerprint(F.col("campos")))
     groups = rows.groupBy("h").agg(F.min("id").alias("id_mantido"), F.max("id").alias("_ultimo"), F.max(F.size("campos")).alias("_n"))
-    groups = groups.where("id_mantido < _ultimo and _n > 0").select("h", "id_mantido")
+    groups = cut_lineage(groups.where("id_mantido < _ultimo and _n > 0").select("h", "id_mantido"))
     salt = F.pmod(F.xxhash64("id"), F.lit(SALTS))
-    spread = groups.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    # Few rows have a copy; they are written once, so that neither the scan nor the hashing repeats.
-    members = cut_lineage(rows.withColumn("_s", salt).join(spread, ["h", "_s"]).select("id_mantido", "id", "_s", "campos"))
+    salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+    if is_small(groups, MAX_BROADCAST_GROUPS):
+        met = rows.join(F.broadcast(groups), "h").withColumn("_s", salt)
+    else:
+        met = rows.withColumn("_s", salt).join(groups.withColumn("_s", F.explode(salts)), ["h", "_s"])
+    # Rows that have a copy are written once, so that neither the scan nor the hashing repeats.
+    members = cut_lineage(met.select("id_mantido", "id", "_s", "campos"))
     kept = members.where("id = id_mantido").groupBy("id_mantido").agg(F.first("campos").alias("_campos"))
-    kept = kept.withColumn("_s", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    kept = kept.withColumn("_s", F.explode(salts))
     met = members.join(kept, ["id_mantido", "_s"])
     met = met.select("id_mantido", "id", "campos", same_fields(F.col("campos"), F.col("_campos")).alias("_igual"))
     # Different statements of one 122-bit fingerprint: grouped again by the fields themselves.

@@ -136,3 +136,11 @@ def test_truncation(spark, rows):
 
 def test_forms_are_normal():
     assert unicodedata.normalize("NFC", confusables.canonical_text("é")) == "é"
+
+
+def test_copies_beyond_the_broadcast(spark, rows, monkeypatch):
+    data = [(i, f"Texto {i % 7}, igual" + "." * (i % 3)) for i in range(60)]
+    df = spark.createDataFrame(data, "id long, evidencia string")
+    shipped = rows(duplicates.copies(df, "id", "evidencia"))
+    monkeypatch.setattr(duplicates, "MAX_BROADCAST_GROUPS", 2)
+    assert rows(duplicates.copies(df, "id", "evidencia")) == shipped and len(shipped) == 53
