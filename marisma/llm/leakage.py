@@ -20,10 +20,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marisma.session import cut_lineage
+from marisma.session import cut_lineage, is_small
 
 #: Words of a seed, words of a shared run, most item n-grams that may be broadcast.
 SEED, RUN, MAX_BROADCAST_SEEDS = 8, 15, 200_000
+#: Up to so many affected documents their keys are broadcast, so that no other text is shuffled.
+MAX_BROADCAST_DOCUMENTS = 1_000_000
 #: Smith-Waterman scores of equal words, different words and gaps.
 MATCH, MISMATCH, GAP = 2, -1, -1
 
@@ -112,10 +114,14 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
     document only the stretches around its seeds are aligned.
     """
     _, met = seeds(items, documents, item, item_text, doc, doc_text)
-    hits = met.groupBy(item, doc).agg(F.array_sort(F.collect_set("pos")).alias("_pos"))
+    hits = cut_lineage(met.groupBy(item, doc).agg(F.array_sort(F.collect_set("pos")).alias("_pos")))
     item_words = items.dropDuplicates([item]).where(F.col(item_text).isNotNull()).select(item, words(F.col(item_text)).alias("_iw"))
     hits = hits.join(item_words, item)
-    texts = documents.where(F.col(doc_text).isNotNull()).select(doc, words(F.col(doc_text)).alias("_dw"))
+    affected = hits.select(doc).distinct()
+    texts = documents.where(F.col(doc_text).isNotNull())
+    if is_small(affected, MAX_BROADCAST_DOCUMENTS):
+        texts = texts.join(F.broadcast(affected), doc, "left_semi")
+    texts = texts.select(doc, words(F.col(doc_text)).alias("_dw"))
     # Only the stretches go to Python: a long document is never a row there.
     pairs = texts.join(hits, doc).select(item, doc, "_iw", "_dw", F.explode(stretches(F.col("_pos"), F.size("_iw"))).alias("_s"))
     pairs = pairs.select(item, doc, "_iw", F.slice("_dw", F.col("_s.ini") + 1, F.col("_s.fim") - F.col("_s.ini")).alias("_trecho"))
