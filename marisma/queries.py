@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marisma.functions import rules, text
-from marisma.operators import answers, audit, catalog, chunks, identify, packed, sections, summaries, validate, writes
+from marisma.operators import answers, audit, catalog, chunks, composition, identify, packed, sections, summaries, validate, writes
 from marisma.plans import runs
 from marisma.schemas import run_checks
 from marisma.session import spread, table
@@ -601,6 +601,28 @@ def line_statistics(spark: SparkSession, d: str) -> DataFrame:
     return _lines(spark, d).groupBy("doc").agg(F.count("*").alias("linhas"), F.max(F.length("texto")).alias("maior"))
 
 
+def _composition(spark: SparkSession, d: str) -> DataFrame:
+    values = packed.unpack(table(spark, d, "bulas"), "nome_normalizado", ["composicao"])
+    return composition.classify(values, "nome_normalizado", "posicao", "valor")
+
+
+@query()
+def composition_roles(spark: SparkSession, d: str) -> DataFrame:
+    return _composition(spark, d)
+
+
+@query()
+def active_ingredients(spark: SparkSession, d: str) -> DataFrame:
+    return composition.active_ingredients(_composition(spark, d), "nome_normalizado", "posicao")
+
+
+@query()
+def unnamed_actives(spark: SparkSession, d: str) -> DataFrame:
+    """Active values of the composition that the registry's ingredient list does not name."""
+    names = packed.unpack(table(spark, d, "bulas"), "nome_normalizado", ["principios_ativos"]).select("nome_normalizado", "valor")
+    return composition.unnamed_actives(_composition(spark, d), "nome_normalizado", names, "valor")
+
+
 @query()
 def card_origins(spark: SparkSession, d: str) -> DataFrame:
     return summaries.card_origins(table(spark, d, "interacoes"))
