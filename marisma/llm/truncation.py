@@ -3,7 +3,8 @@
 Word n-grams are counted inside sentences and at their ends over all texts; the final n-gram of
 every text that stops without closing punctuation is joined to those counts and the text is cut
 where its end is frequent inside and almost never terminal; an end that many other texts share
-without closing punctuation (a notice) counts as terminal.  Words that few texts use (names) are
+without closing punctuation (a notice) counts as terminal.  Texts are counted and judged once however many
+rows hold them, so that copies of a cut text do not vouch for each other.  Words that few texts use (names) are
 one class, so that the end of "antes de começar <name>" is judged by all names.  The trigram
 decides; a trigram that is both inner and terminal is settled by the longest of its 5- and 7-gram
 that was seen often enough.  An end never seen at all is a broken word if a longer word begins
@@ -21,7 +22,7 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marisma.session import cut_lineage
+from marisma.session import cut_lineage, is_small, spread
 
 #: A word is its own class if at least this share of the texts uses it.  At most
 #: (mean distinct words of a text) / FREQUENT words pass, whatever the number of texts.
@@ -29,23 +30,28 @@ FREQUENT = 0.005
 #: Least number of times an n-gram must have been seen to decide, and the terminal share of a cut.
 SUPPORT, TERMINAL = 3, 0.05
 RARE = "¤"
+#: Up to so many cut texts are broadcast to find their rows; beyond, they meet over ``SALTS`` salts.
+MAX_BROADCAST_TEXTS, SALTS = 100_000, 16
+
+_DIFFERENT = "SELECT md5(texto) AS chave, texto FROM (SELECT DISTINCT texto FROM {texts} WHERE texto IS NOT NULL)"
 
 _SENTENCES = r"""
-SELECT tabela, id, pos, pos = n - 1 AS ultima, tokens,
+SELECT chave, forma, pos, pos = n - 1 AS ultima, tokens,
        size(tokens) AS k,
        pos < n - 1 OR (corpo RLIKE '[.!?)]["”’)]*$' AND NOT omissao) AS fechada,
        omissao AND pos = n - 1 AS omissao
 FROM (
-  SELECT tabela, id, pos, n, corpo, omissao,
+  SELECT chave, forma, pos, n, corpo, omissao,
          transform(regexp_extract_all(lower(corpo), '[\\pL\\pN%]+|[,;:()!?]', 0),
                    t -> regexp_replace(t, '[0-9]+', '#')) AS tokens
   FROM (
-    SELECT tabela, id, omissao, pos, corpo, size(partes) AS n
-    FROM (SELECT tabela, id, omissao, split(limpo, '(?<=[.!?])\\s+') AS partes
-          FROM (SELECT tabela, id,
+    SELECT chave, forma, omissao, pos, corpo, size(partes) AS n
+    FROM (SELECT chave, omissao, split(limpo, '(?<=[.!?])\\s+') AS partes,
+                 xxhash64(regexp_replace(lower(limpo), '[^\\pL\\pN]+', '')) AS forma
+          FROM (SELECT chave,
                        texto RLIKE '(?:\\.\\.|…|�)\\s*$' AS omissao,
                        regexp_replace(texto, '(?:\\.\\.+|…|�|\\s)+$', '') AS limpo
-                FROM {texts} WHERE texto IS NOT NULL)
+                FROM {texts})
           WHERE limpo <> '')
     LATERAL VIEW posexplode(partes) p AS pos, corpo
   )
@@ -58,7 +64,7 @@ SELECT palavra FROM (
   SELECT palavra, count(*) AS textos FROM (
     SELECT explode(array_distinct(transform(regexp_extract_all(lower(texto), '[\\pL\\pN%]+|[,;:()!?]', 0),
                                             t -> regexp_replace(t, '[0-9]+', '#')))) AS palavra
-    FROM {texts} WHERE texto IS NOT NULL)
+    FROM {texts})
   GROUP BY palavra)
 WHERE textos >= {least}
 """
@@ -84,12 +90,12 @@ GROUP BY g
 """
 
 _ENDS = """
-SELECT tabela, id, substring_index(g3, ' ', 2) AS contexto, palavra, g3, g5, g7
-FROM (SELECT tabela, id, element_at(tokens, -1) AS palavra,
+SELECT chave, forma, substring_index(g3, ' ', 2) AS contexto, palavra, g3, g5, g7
+FROM (SELECT chave, forma, element_at(tokens, -1) AS palavra,
              array_join(slice(fita, k + 4, 3), ' ') AS g3,
              array_join(slice(fita, k + 2, 5), ' ') AS g5,
              array_join(slice(fita, k, 7), ' ') AS g7
-      FROM (SELECT tabela, id, k, tokens, concat(array_repeat('^', 6), classes) AS fita FROM {classed} WHERE ultima AND NOT fechada))
+      FROM (SELECT chave, forma, k, tokens, concat(array_repeat('^', 6), classes) AS fita FROM {classed} WHERE ultima AND NOT fechada))
 """
 
 # Words that follow a context, to tell a broken word from a whole one.
@@ -97,18 +103,19 @@ _FOLLOWERS = """
 SELECT substring_index(g, ' ', 2) AS contexto, substring_index(g, ' ', -1) AS seguinte, dentro + fim AS vezes, solto
 FROM {counts}
 WHERE length(g) - length(replace(g, ' ', '')) = 2 AND substring_index(g, ' ', -1) <> '¤'
-UNION ALL SELECT contexto, palavra, 0, count(*) FROM {ends} GROUP BY contexto, palavra
+UNION ALL SELECT contexto, palavra, 0, count(DISTINCT forma) FROM {ends} GROUP BY contexto, palavra
 """
 
-# ``iguais``: other texts that stop at the same word after the same two without punctuation.
+# ``iguais``: other texts that stop at the same word after the same two without punctuation; texts
+# of the same letters and digits are one.
 _JUDGED = """
-SELECT e.tabela, e.id, e.contexto, e.palavra, q.iguais, e.g3 LIKE '% ¤' AS raro,
+SELECT e.chave, e.contexto, e.palavra, q.iguais, e.g3 LIKE '% ¤' AS raro,
        coalesce(c7.dentro + c7.fim, 0) AS n7, coalesce(c7.fim, 0) AS t7,
        coalesce(c5.dentro + c5.fim, 0) AS n5, coalesce(c5.fim, 0) AS t5,
        coalesce(c3.dentro + c3.fim, 0) AS n3, coalesce(c3.fim, 0) AS t3,
        coalesce(cr.dentro + cr.fim, 0) AS nr, coalesce(cr.fim, 0) AS tr
 FROM {ends} e
-JOIN (SELECT contexto, palavra, count(*) - 1 AS iguais FROM {ends} GROUP BY contexto, palavra) q ON q.contexto = e.contexto AND q.palavra = e.palavra
+JOIN (SELECT contexto, palavra, count(DISTINCT forma) - 1 AS iguais FROM {ends} GROUP BY contexto, palavra) q ON q.contexto = e.contexto AND q.palavra = e.palavra
 LEFT JOIN {counts} cr ON cr.g = concat(e.contexto, ' ¤')
 LEFT JOIN {counts} c3 ON c3.g = e.g3
 LEFT JOIN {counts} c5 ON c5.g = e.g5
@@ -123,9 +130,9 @@ WHERE f.vezes >= {support} OR f.solto > 5 * (j.iguais + 1)
 """
 
 _CUT = """
-SELECT tabela, id FROM {texts} WHERE texto LIKE '%\ufffd'
+SELECT chave FROM {texts} WHERE texto LIKE '%\ufffd'
 UNION
-SELECT j.tabela, j.id FROM {judged} j
+SELECT j.chave FROM {judged} j
 LEFT JOIN {broken} b ON b.contexto = j.contexto AND b.palavra = j.palavra
 WHERE CASE
   WHEN b.contexto IS NOT NULL THEN true
@@ -139,7 +146,7 @@ END
 
 
 def _frequent_words(texts: DataFrame) -> list[str]:
-    least = max(2.0, FREQUENT * texts.where("texto IS NOT NULL").count())
+    least = max(2.0, FREQUENT * texts.count())
     return [r[0] for r in texts.sparkSession.sql(_WORDS, texts=texts, least=least).collect()]
 
 
@@ -160,8 +167,10 @@ def _classed(sentences: DataFrame, words: list[str]) -> DataFrame:
 def cut_texts(texts: DataFrame) -> DataFrame:
     """(tabela, id) of the truncated rows among (tabela, id, texto)."""
     spark = texts.sparkSession
-    sentences = spark.sql(_SENTENCES, texts=texts)
-    classed = _classed(sentences, _frequent_words(texts))
+    # Several passes read the different texts; they are made once.
+    different = cut_lineage(spread(spark.sql(_DIFFERENT, texts=texts), "chave"))
+    sentences = spark.sql(_SENTENCES, texts=different)
+    classed = _classed(sentences, _frequent_words(different))
     grams = spark.sql(_GRAMS, classed=classed)
     # n-grams of classes are few however many texts there are; they are written once.
     counts = cut_lineage(spark.sql(_COUNTS, grams=grams))
@@ -169,7 +178,14 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     judged = spark.sql(_JUDGED, ends=ends, counts=counts)
     followers = spark.sql(_FOLLOWERS, counts=counts, ends=ends)
     broken = spark.sql(_BROKEN, judged=judged, followers=followers, support=SUPPORT)
-    return spark.sql(_CUT, texts=texts, judged=judged, broken=broken, support=SUPPORT, terminal=TERMINAL)
+    cut = cut_lineage(spark.sql(_CUT, texts=different, judged=judged, broken=broken, support=SUPPORT, terminal=TERMINAL))
+    rows = texts.where("texto IS NOT NULL").select("tabela", "id", F.md5("texto").alias("chave"))
+    if is_small(cut, MAX_BROADCAST_TEXTS):
+        met = rows.join(F.broadcast(cut), "chave")
+    else:
+        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
+        met = rows.withColumn("_s", F.pmod(F.xxhash64("tabela", "id"), F.lit(SALTS))).join(cut.withColumn("_s", F.explode(salts)), ["chave", "_s"])
+    return met.select("tabela", "id").distinct()
 
 
 def cut_rates(texts: DataFrame) -> DataFrame:

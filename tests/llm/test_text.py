@@ -134,6 +134,21 @@ def test_truncation(spark, rows):
     assert (rates.textos, rates.cortados) == (len(data) - 1, len(cuts))
 
 
+def test_copies_of_a_cut_text_do_not_vouch(spark, monkeypatch):
+    random.seed(6)
+    names = ["varolinatix", "varodorapur", "varomexgal", "varolinapur"]
+    tails = ["elevar o risco de sangramento", "reduzir o efeito terapêutico", "potencializar a sedação"]
+    whole = [f"Tomar {a} com {b} pode {t}. O médico pode monitorar a função renal quando {a} e {b} são usados." for a in names for b in names for t in tails if a != b]
+    cut, notice = "Tomar varolinatix com varomexgal pode elevar o", [f"{t} Ver bula completa" for t in whole[:9]]
+    copies = [cut] * 120 + [cut + " "] * 20 + [cut.upper()] * 20
+    texts = whole + notice + copies
+    df = spark.createDataFrame([("t", i, t) for i, t in enumerate(texts)], "tabela string, id long, texto string")
+    want = set(range(len(whole) + len(notice), len(texts)))
+    assert {r.id for r in truncation.cut_texts(df).collect()} == want
+    monkeypatch.setattr(truncation, "MAX_BROADCAST_TEXTS", 0)
+    assert {r.id for r in truncation.cut_texts(df).collect()} == want
+
+
 def test_forms_are_normal():
     assert unicodedata.normalize("NFC", confusables.canonical_text("é")) == "é"
 
