@@ -9,7 +9,9 @@ Three kinds of damage are found and repaired, in this order:
   own hyphen if the hyphenated form occurs inside lines more often than the joined word does.
 * ``caractere``: misread characters.  Every word has an anagram hash, a sum over its characters;
   the difference of the hashes of two confusable strings is constant, so rare words meet their
-  frequent confusable variants in an equi-join on hash plus difference.  Confusions are ranked by
+  frequent confusable variants in an equi-join on hash plus difference.  Words are counted over
+  different texts, however many rows hold them: a text delivered again under new keys does not make
+  its misread words frequent.  Confusions are ranked by
   what they explain over the whole corpus and only those with evidence are applied.
 
 Text in other look-alike characters (problem 2) is brought to its consistent form first and is no
@@ -23,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marisma.llm.confusables import with_consistent_form
-from marisma.session import cut_lineage, spread
+from marisma.session import cut_lineage, is_small, spread
 
 # Fixed values: (misread, true) strings that scanners confuse.
 CONFUSIONS = (
@@ -41,8 +43,10 @@ LEAST_VARIANT, LEAST_RATIO = 3, 3
 FEW = 2
 #: Words in at least so many texts rank the confusions; least rate at which a string was misread.
 SOLID, LEAST_EVIDENCE = 20, 0.0003
-#: Words in at least this share of the texts; at most (mean distinct words of a text) / COMMON.
+#: Words in at least this share of the rows; at most (mean distinct words of a text) / COMMON.
 COMMON = 0.002
+#: Up to so many rows are broadcast: marks of copied texts, corrections.
+MAX_BROADCAST_ROWS = 200_000
 
 _PAGE = r"^[\s|–—-]*(?:p[aá]g(?:ina|\.)?\s*)?#(?:\s*(?:/|de)\s*#)?[\s|–—-]*$"
 _BREAK = r"(\\pL+)([-¬‐])[ \\t\\r]*\\n[ \\t]*(\\pL+)"
@@ -134,8 +138,8 @@ def divided_words(bodies: DataFrame) -> DataFrame:
 _HASH = "aggregate(split({w}, ''), 0L, (s, c) -> s + CASE WHEN c = '' THEN 0L ELSE cast(pow(ascii(c) % 1009, 5) AS bigint) END)"
 
 _TEXT_WORDS = r"""
-SELECT tabela, chave, palavra FROM (
-  SELECT tabela, chave, explode(array_distinct(regexp_extract_all(lower(texto), '[\\pL\\pN@]+(?:(?<=c),(?=\\pL)[\\pL\\pN@]+)*', 0))) AS palavra FROM {joined})
+SELECT {colunas}, palavra FROM (
+  SELECT {colunas}, explode(array_distinct(regexp_extract_all(lower(texto), '[\\pL\\pN@]+(?:(?<=c),(?=\\pL)[\\pL\\pN@]+)*', 0))) AS palavra FROM {joined})
 WHERE palavra RLIKE '\\pL' AND NOT palavra RLIKE '^\\pN+\\pL{{1,3}}$|^\\pL{{1,3}}\\pN+$'
 """
 
@@ -191,6 +195,22 @@ def corrections(words: DataFrame) -> DataFrame:
     return found.unionByName(signs.join(found, "palavra", "left_anti"))
 
 
+def _different(joined: DataFrame) -> DataFrame:
+    """(linha, texto, linhas): one row of each text of (linha, texto), with the number of its rows.
+
+    Texts of the same letters, digits and signs are one.  Only hashes are grouped; the few rows that
+    are copies or have some are marked by their number.
+    """
+    form = F.regexp_replace(F.lower("texto"), r"[^\pL\pN@]+", "")
+    forms = joined.select("linha", F.xxhash64(F.lit(1), form).alias("h1"), F.xxhash64(F.lit(2), form).alias("h2"))
+    first = forms.groupBy("h1", "h2").agg(F.min("linha").alias("linha"), F.count("*").alias("linhas")).select("linha", "linhas")
+    marks = joined.select("linha").join(first, "linha", "left").select("linha", F.coalesce("linhas", F.lit(0)).alias("linhas"))
+    marks = cut_lineage(marks.where("linhas <> 1"))
+    marks = F.broadcast(marks) if is_small(marks, MAX_BROADCAST_ROWS) else marks
+    rows = joined.join(marks, "linha", "left").select("linha", "texto", F.coalesce("linhas", F.lit(1)).alias("linhas"))
+    return rows.where("linhas > 0")
+
+
 class Repair:
     """The stages over one set of texts (tabela, chave, texto), shared by what is asked of them.
 
@@ -201,16 +221,18 @@ class Repair:
         texts = texts.where(F.col("texto").isNotNull()).withColumn("texto", F.regexp_replace("texto", "­(?=[ \\t\\r]*\\n)", "¬"))
         # Six passes read the clean texts; their consistent form is made once.
         clean = cut_lineage(with_consistent_form(spread(texts), "texto", "_c").select("tabela", "chave", F.col("_c").alias("texto")))
-        self.bodies = cut_lineage(without_edges(clean))
+        self.bodies = cut_lineage(without_edges(clean).withColumn("linha", F.monotonically_increasing_id()))
         self.divided = divided_words(self.bodies)
         joined = self.bodies.withColumn("texto", F.regexp_replace("texto", _JOIN, ""))
-        self.text_words = joined.sparkSession.sql(_TEXT_WORDS, joined=joined)
-        counted = self.text_words.groupBy("palavra").agg(F.count("*").alias("n"))
+        self.text_words = joined.sparkSession.sql(_TEXT_WORDS.replace("{colunas}", "tabela, chave"), joined=joined)
+        different = _different(joined.select("linha", "texto"))
+        counted = joined.sparkSession.sql(_TEXT_WORDS.replace("{colunas}", "linhas"), joined=different)
+        counted = counted.groupBy("palavra").agg(F.count("*").alias("n"), F.sum("linhas").alias("linhas"))
         if known is None:
             words = counted.withColumn("aceita", F.lit(False))
         else:
             right = known.select("palavra", F.lit(True).alias("_k")).distinct()
-            words = counted.join(right, "palavra", "full_outer").select("palavra", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("_k", F.lit(False)).alias("aceita"))
+            words = counted.join(right, "palavra", "full_outer").select("palavra", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("linhas", F.lit(0)).alias("linhas"), F.coalesce("_k", F.lit(False)).alias("aceita"))
         self.words = cut_lineage(words)
         self.corrections = cut_lineage(corrections(self.words))
 
@@ -218,12 +240,14 @@ class Repair:
         """(tabela, chave, palavra, certa) of every misread word of every text.
 
         Common words leave before the shuffle: their number is bounded by ``COMMON``, so they are
-        broadcast; what is common and misread stays.
+        broadcast; what is common and misread stays.  A misread word may stand in a third of the
+        rows, so corrections are broadcast up to a counted number.
         """
         least = F.lit(COMMON) * F.lit(self.bodies.count())
-        common = self.words.where(F.col("n") >= least).join(self.corrections, "palavra", "left_anti").select("palavra")
+        common = self.words.where(F.col("linhas") >= least).join(self.corrections, "palavra", "left_anti").select("palavra")
         rest = self.text_words.join(F.broadcast(common), "palavra", "left_anti")
-        return rest.join(self.corrections, "palavra").select("tabela", "chave", "palavra", "certa")
+        corrected = F.broadcast(self.corrections) if is_small(self.corrections, MAX_BROADCAST_ROWS) else self.corrections
+        return rest.join(corrected, "palavra").select("tabela", "chave", "palavra", "certa")
 
     def damage(self) -> DataFrame:
         """(tabela, chave, defeito), one row for each kind of damage a text has."""

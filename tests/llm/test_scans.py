@@ -59,6 +59,20 @@ def test_damage_and_repair(spark):
     assert {k: text[k] for k in clean} == clean and "nulo" not in text
 
 
+def test_copies_do_not_make_a_misread_word_frequent(spark, monkeypatch):
+    data = [(t, k, x.replace("pacientes", "pacicntes") if int(k) % 30 == 3 else x) for t, k, x, _ in corpus()]
+    wrong = next(x for _, _, x in data if "pacicntes" in x)
+    again = [wrong] * 100 + [wrong.upper()] * 20 + [wrong.replace(" ", "\n", 3)] * 20
+    data += [("t", f"c{i}", x) for i, x in enumerate(again)]
+    want = {k for _, k, x in data if "pacicntes" in x.lower()}
+    assert len(want) > 140
+    df = spark.createDataFrame(data, "tabela string, chave string, texto string")
+    assert {r.chave for r in scans.Repair(df).damage().where("defeito = 'caractere'").collect()} == want
+    known = spark.createDataFrame([("pacientes",)], "palavra string")
+    monkeypatch.setattr(scans, "MAX_BROADCAST_ROWS", 0)
+    assert {r.chave for r in scans.Repair(df, known).damage().where("defeito = 'caractere'").collect()} == want
+
+
 def test_known_words_are_right(spark):
     data = corpus() + [("t", "n1", "pacicntes pode causar sinais", None)]
     df = spark.createDataFrame(data, "tabela string, chave string, texto string, linha string")
