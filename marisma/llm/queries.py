@@ -32,7 +32,10 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p2_groups(spark: SparkSession, d: str) -> DataFrame:
-    return confusables.skeleton_groups(table(spark, d, "interacoes"), "alvo")
+    """Originals of equal skeleton, for each of the two fields."""
+    rows = table(spark, d, "interacoes")
+    alvo, evidence = (confusables.skeleton_groups(rows, f).select(F.lit(f).alias("campo"), "*") for f in ("alvo", "evidencia"))
+    return alvo.unionByName(evidence)
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:

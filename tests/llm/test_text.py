@@ -4,7 +4,7 @@ import random
 import re
 import unicodedata
 
-from marisma.llm import canonical, confusables, duplicates, truncation
+from marisma.llm import canonical, confusables, duplicates, queries, truncation
 
 
 # ---------------------------------------------------------------- confusables
@@ -41,6 +41,13 @@ def test_skeleton_groups(spark):
     assert got == {("rex", "rex", 3, 7), ("outro", "outro", 1, 1)}
 
 
+def test_both_fields_are_grouped(spark, tmp_path):
+    data = [(1, "rex", "uso de rex"), (2, "rеx", "uso de rеx"), (3, None, "outro"), (4, "", None)]
+    spark.createDataFrame(data, "id long, alvo string, evidencia string").write.parquet(f"{tmp_path}/interacoes.parquet")
+    got = {tuple(r) for r in queries.p2_groups(spark, str(tmp_path)).collect()}
+    assert got == {("alvo", "rex", "rex", 2, 2), ("alvo", "", "", 1, 1), ("evidencia", "uso de rex", "uso de rex", 2, 2), ("evidencia", "outro", "outro", 1, 1)}
+
+
 # ---------------------------------------------------------------- canonical mapping
 
 TERMS = [(1, "nodunoerbato", "NDBT"), (2, "inibidores da vicobiase", None), (3, "suco de jabuticaba", None), (4, "rerexanil", None), (5, "ácido sovalínico", None), (6, "bloqueadores de clefedaina", None)]
