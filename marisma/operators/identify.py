@@ -3,16 +3,22 @@
 Texts become passages, passages become word n-grams, and n-grams meet the dictionary in an
 equi-join; inside a passage matches are taken from left to right, the longest first, without
 overlap.  Each match is then accepted or rejected by rules over columns.  Everything is one plan of
-JVM expressions; only (passage, position) pairs are shuffled, texts join last.
+JVM expressions, but for the cut of long passages around their target; only (passage, position)
+pairs are shuffled, texts join last.
 """
 
 from __future__ import annotations
 
+import re
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from marisma.functions.rules import ABSENCE, CLAUSE_END
-from marisma.functions.text import fold_name, fold_target, list_of, not_blank, quotation_key
+from marisma.functions.text import _ACCENTED, fold_name, fold_target, list_of, not_blank, quotation_key
 from marisma.operators.catalog import catalog_keys, key_words, substances, terms
 from marisma.session import cut_lineage, spread
 
@@ -22,6 +28,8 @@ PASSAGE_END = r"\n[ \t]*\n|\n(?=[ \t]*[-•▪●◦*])|(?<=[.;])\s+(?=[A-ZÁÉ
 EXCEPTION = r"\b(?:exceto|salvo|excluindo|com excecao d[aeo]s?|a excecao d[aeo]s?|mas nao)\b[^:;.()]*"
 EXCIPIENTS = r"^atencao:? ?contem\b|\bexcipientes?\b|\bcorantes?\b"
 MAX_EVIDENCE, KEPT = 1200, 3
+# Characters kept after the target of a longer passage, and around a late target.
+AFTER, WINDOW = 200, 400
 
 
 def passages(source: DataFrame, key: str, text: str) -> DataFrame:
@@ -103,15 +111,59 @@ def identify(source: DataFrame, catalog: DataFrame, ignored: list[str] | None =
     return rows.select(key, "trecho", "inicio", "termo", "tipo", reason.alias("motivo"), "texto")
 
 
+def word_spans(text: str) -> list[tuple[int, int]]:
+    """(first, behind the last) character of each word of ``_words`` as it is written in ``text``."""
+
+    def kind(c: str) -> str:
+        bare = [x for x in c.lower() if unicodedata.category(x)[0] != "M"]
+        return "x" if any(x in _ACCENTED or "a" <= x <= "z" or "0" <= x <= "9" for x in bare) else " " if bare else "m"
+
+    kinds = {c: kind(c) for c in set(text)}
+    signs = [kinds[c] for c in text]
+    for m in re.finditer(r"-[ \t\n\x0b\f\r]*\n[ \t\n\x0b\f\r]*", text):
+        if text[m.start() - 1 : m.start()].isalpha() and text[m.end() : m.end() + 1].isalpha():
+            signs[m.start() : m.end()] = "j" * len(m.group())
+    return [m.span() for m in re.finditer("x(?:[mj]*x)*m*", "".join(signs))]
+
+
+def cut_evidence(text: str, first: int, behind: int) -> str:
+    """A literal part of a passage with the target at ``first``: from the start of the sentence to a
+    little after the target, or a window around a target far from the start."""
+    if len(text) <= MAX_EVIDENCE:
+        return text
+    if behind <= MAX_EVIDENCE - AFTER:
+        start, end = 0, min(len(text), behind + AFTER)
+    else:
+        start = max(0, first - WINDOW // 3)
+        end = min(len(text), max(behind, start + WINDOW))
+        line, blank = text.rfind("\n", start, first), text.find(" ", start, first)
+        if line >= 0:
+            start = line + 1
+        elif blank >= 0:
+            start = blank + 1
+    if end < len(text):
+        blank = text.rfind(" ", behind, end)
+        end = blank if blank >= 0 else end
+    return text[start:end].strip()
+
+
+@F.pandas_udf(T.StringType())
+def _cut_evidence(texts: pd.Series, first: pd.Series, words: pd.Series) -> pd.Series:
+    spans = {t: word_spans(t) for t in texts.dropna().unique()}
+    return pd.Series([None if t is None else cut_evidence(t, spans[t][i][0], spans[t][i + n - 1][1]) for t, i, n in zip(texts, first, words)], dtype=object)
+
+
 def relations(identified: DataFrame) -> DataFrame:
-    """Accepted matches with their evidence: at most ``KEPT`` different passages per origin and term,
-    in text order."""
+    """Accepted matches with their evidence: at most ``KEPT`` different ones per origin and term, in
+    text order.  Only passages longer than ``MAX_EVIDENCE`` are cut and reach Python."""
     key = "nome_normalizado"
-    rows = identified.where(F.col("motivo").isNull()).withColumn("_q", quotation_key(F.col("texto")))
-    first = rows.groupBy(key, "termo", "tipo", "_q").agg(F.min_by(F.struct("trecho", "inicio", "texto"), F.struct("trecho", "inicio")).alias("_m")).select(key, "termo", "tipo", "_m.*")
+    long = F.when(F.length("texto") > MAX_EVIDENCE, F.col("texto"))
+    rows = identified.where(F.col("motivo").isNull()).withColumn("evidencia", F.coalesce(_cut_evidence(long, "inicio", F.size(F.split("termo", " "))), "texto"))
+    rows = rows.withColumn("_q", quotation_key(F.col("evidencia")))
+    first = rows.groupBy(key, "termo", "tipo", "_q").agg(F.min_by(F.struct("trecho", "inicio", "evidencia"), F.struct("trecho", "inicio")).alias("_m")).select(key, "termo", "tipo", "_m.*")
     w = Window.partitionBy(key, "termo").orderBy("trecho", "inicio")
     kept = first.withColumn("ordem", F.row_number().over(w)).where(F.col("ordem") <= KEPT)
-    return kept.select(key, F.col("termo").alias("alvo"), F.col("tipo").alias("tipo_alvo"), "trecho", "ordem", F.substring("texto", 1, MAX_EVIDENCE).alias("evidencia"))
+    return kept.select(key, F.col("termo").alias("alvo"), F.col("tipo").alias("tipo_alvo"), "trecho", "ordem", "evidencia")
 
 
 def run_status(source: DataFrame, found: DataFrame) -> DataFrame:

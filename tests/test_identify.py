@@ -1,5 +1,7 @@
 """Dictionary matching and its rules on hand-written texts."""
 
+import random
+
 import pytest
 
 from marisma.operators import catalog, chunks, identify
@@ -48,6 +50,32 @@ def test_at_most_three_evidences(spark, entries):
     assert all(r.evidencia in text for r in rel)
 
 
+def test_long_passages_are_cut_around_the_target(spark, entries):
+    filler = "texto sem fim de frase " * 60
+    early = "A digoxina " + filler
+    late = filler + "ácido acetil-\nsalicílico e \n" + filler + "depois a DIGOXINA aumenta " + filler + "e a digoxina outra vez " + filler
+    source = spark.createDataFrame([("marevan", early), ("produto teste", late)], "nome_normalizado string, trecho_interacoes string")
+    got = {}
+    for r in identify.relations(identify.identify(source, entries)).collect():
+        got.setdefault((r.nome_normalizado, r.alvo), []).append(r.evidencia)
+    assert got.keys() == {("marevan", "digoxina"), ("produto teste", "digoxina"), ("produto teste", "acido acetilsalicilico")}
+    (first,) = got["marevan", "digoxina"]
+    assert early.startswith(first) and first.startswith("A digoxina") and 190 < len(first) <= 210
+    (aas,) = got["produto teste", "acido acetilsalicilico"]
+    assert "ácido acetil-\nsalicílico" in aas and aas in late and len(aas) <= 400
+    two = sorted(got["produto teste", "digoxina"])
+    assert len(two) == 2 and all(e in late and "digoxina" in e.lower() and len(e) <= 400 for e in two)
+
+
+def test_word_spans_are_the_matched_words(spark):
+    random.seed(11)
+    pool = "ab1éÇÃß ªº²İŁΩ\u0301\u00ad-\n\t.;ﬁK\u00a0"
+    texts = ["".join(random.choice(pool) for _ in range(60)) for _ in range(400)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", identify._words(F.col("t")).alias("w")).collect()
+    for r in rows:
+        assert len(identify.word_spans(r.t)) == len(r.w), ascii(r.t)
+
+
 def test_passages(spark):
     source = spark.createDataFrame([("x", "Primeira frase. Segunda frase;\n- item um\n• item dois\n\nNova parte"), ("nulo", None), ("branco", "  ")], "k string, t string")
     got = [r.texto for r in identify.passages(source, "k", "t").orderBy("trecho").collect()]
