@@ -489,6 +489,17 @@ def missing_numbers(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "interacoes").select("id", F.array_join(rules.missing_amounts(F.lit(""), F.col("evidencia")), " ").alias("perdidas"))
 
 
+_AMOUNTS = r"list_distinct(list_transform(regexp_extract_all(FOLD, '(\d+(?:[.,]\d+)?)\s*(?:mg|mcg|g|ml|l|ui|meq|mmol|gotas?|comprimidos?|capsulas?)(?:[^a-z]|$)', 1), lambda x: replace(x, '.', ',')))"
+
+
+@query(f"""WITH n AS (SELECT id, {_AMOUNTS.replace("FOLD", _fold("evidencia"))} AS e, {_AMOUNTS.replace("FOLD", _fold("coalesce(resumo, '')"))} AS s FROM interacoes)
+  SELECT id, array_to_string(list_sort(list_filter(e, lambda x: NOT list_contains(s, x))), ' ') AS perdidas FROM n""")
+def summary_missing_numbers(spark: SparkSession, d: str) -> DataFrame:
+    """Amounts of the evidence that its summary lost; a null summary lost all."""
+    lost = rules.missing_amounts(F.coalesce("resumo", F.lit("")), F.col("evidencia"))
+    return table(spark, d, "interacoes").select("id", F.array_join(lost, " ").alias("perdidas"))
+
+
 @query(f"""SELECT direcao, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(f, '{rules.INCREASE}') THEN 'AUMENTO' WHEN regexp_matches(f, '{rules.DECREASE}') THEN 'REDUCAO' ELSE 'OUTRO' END AS direcao
   FROM (SELECT {_fold('resumo')} AS f FROM interacoes)) GROUP BY 1""")
 def effect_groups(spark: SparkSession, d: str) -> DataFrame:

@@ -4,6 +4,7 @@ from datetime import datetime
 
 import pytest
 
+from marisma import queries
 from marisma.operators import answers, audit, writes
 from marisma.plans import runs
 from marisma.schemas import TABLES, run_checks, schema_differences
@@ -100,3 +101,10 @@ def test_checks_let_null_pass(spark, corpus):
 def test_schema_differences(corpus):
     assert schema_differences(corpus.links, "interacoes_medicamentos") == []
     assert schema_differences(corpus.links.drop("invalidado_em"), "interacoes_medicamentos") == [("invalidado_em", "timestamp_ntz", None)]
+
+
+def test_amounts_lost_by_summaries(spark, tmp_path):
+    data = [(1, "Use 5 mg.", "Use 5 mg ou 2.5 ml."), (2, None, "Use 7 mg."), (3, "Use 7 mg.", None), (4, "nada", "nada")]
+    spark.createDataFrame(data, "id long, resumo string, evidencia string").write.parquet(f"{tmp_path}/interacoes.parquet")
+    got = {r.id: r.perdidas for r in queries.summary_missing_numbers(spark, str(tmp_path)).collect()}
+    assert got == {1: "2,5", 2: "7", 3: None, 4: ""}
