@@ -6,6 +6,7 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Applied by :func:`build_session`; a session made elsewhere keeps its own values.
 DEFAULTS = {
@@ -51,6 +52,22 @@ def is_small(df: DataFrame, most: int) -> bool:
     return df.limit(most + 1).count() <= most
 
 
+def join_back(rows: DataFrame, keyed: DataFrame, on: list[str], most: int) -> DataFrame:
+    """Inner join of many rows to ``keyed``, one row a key, where a key may hold any share of the rows.
+
+    Up to ``most`` keys are broadcast.  Beyond it only the keys of hot groups are: a group is hot from
+    a quarter of a core's share of the rows, so there are at most four times as many as cores; the
+    rest is an ordinary join.  ``keyed`` is read twice and should be written already.
+    """
+    if is_small(keyed, most):
+        return rows.join(F.broadcast(keyed), on)
+    counted = cut_lineage(rows.groupBy(*on).agg(F.count("*").alias("_n")))
+    total = counted.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
+    hot = F.broadcast(counted.where(F.col("_n") * 4 * rows.sparkSession.sparkContext.defaultParallelism >= total).select(*on))
+    near = rows.join(F.broadcast(keyed.join(hot, on, "left_semi")), on)
+    return near.unionByName(rows.join(hot, on, "left_anti").join(keyed, on))
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """``df`` as a reliable checkpoint, so that a lost executor re-reads it instead of recomputing.
 
