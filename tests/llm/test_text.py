@@ -69,10 +69,24 @@ def test_mapping(spark, rows):
 
 
 def test_join_path_equals_shipped_path(spark):
+    """Scores and decisions are the same, also for names that differ by a letter."""
+    near = [(7, "zolpedrina alfa", None), (8, "zolpedrina alfo", None), (9, "zolpedrina beta", None)]
+    ref = spark.createDataFrame(TERMS + near, "termo_id long, termo string, sinonimos string")
+    data = [*VALUES, "zolpedrina alfe", "zolpedrina alffa", "zolpedrina betta", "zolpedrina"]
+    values = spark.createDataFrame([(v,) for v in data], "valor string")
+    shipped = {(r.valor, r.termo_id, round(r.score, 6)) for r in canonical.match_values(values, ref).collect()}
+    assert shipped == {(r.valor, r.termo_id, round(r.score, 6)) for r in canonical.match_by_join(values, ref).collect()}
+    assert {(v, n) for v, n, _ in shipped} >= {("zolpedrina alfe", 0), ("zolpedrina betta", 9)}
+    assert canonical.match_by_join(values, ref.limit(0)).where("termo_id <> 0").count() == 0
+    assert canonical.match_by_join(values.limit(0), ref).count() == 0
+
+
+def test_hot_values_go_back_to_their_rows(spark, monkeypatch):
+    monkeypatch.setattr(canonical, "MAX_BROADCAST_VALUES", 2)
     ref = spark.createDataFrame(TERMS, "termo_id long, termo string, sinonimos string")
-    values = spark.createDataFrame([(v,) for v in VALUES], "valor string")
-    shipped = {(r.valor, r.termo_id) for r in canonical.match_values(values, ref).collect()}
-    assert shipped == {(r.valor, r.termo_id) for r in canonical.candidates_by_join(values, ref).collect()}
+    data = [("alvo", i, "Nodunoerbato") for i in range(300)] + [("alvo", 1000 + i, f"{v} ") for i, v in enumerate(VALUES)]
+    got = canonical.map_fields(spark.createDataFrame(data, "campo string, interacao_id long, valor string"), ref).collect()
+    assert len(got) == len(data) and all(r.termo_id == 1 for r in got if r.valor == "Nodunoerbato")
 
 
 def test_edit_distance():
