@@ -26,6 +26,16 @@ def test_consistent_form_and_kinds():
         assert confusables.consistent_form(proper) == (proper, [])
 
 
+def test_prototypes_of_many_scripts(spark):
+    known = confusables.prototypes(spark)
+    assert len(known.letters) > 200 and len(known.looks) > 2000
+    for text, form in {"ꓓrex": "Drex", "Ꭰrex": "Drex", "reх": "rex", "ΑΒx": "ABx", "𝐫ex": "rex", "Іbu": "Ibu", "вase": "base"}.items():
+        assert confusables.consistent_form(text, known) == (form, ["alfabeto"])
+        assert confusables.skeleton(text, known) == confusables.skeleton(form, known)
+    assert confusables.skeleton("rnuito l0O1", known) == confusables.skeleton("muito IO0l", known)
+    assert confusables.skeleton("rex", known) != confusables.skeleton("réx", known)
+
+
 def test_defects_in_the_jvm_and_python_agree(spark):
     pool = "abc éã βοаａﬁ́​   \n\t®ª²12"
     random.seed(1)
