@@ -2,9 +2,9 @@
 
 Fields are split into one value per row with its position.  Which marks separate is inferred per
 source (the field): every candidate mark is tried on every row that has it outside quotes,
-parentheses, numbers and units, and scored by how many of the pieces it makes look like one value
-each (balanced, starting with a letter, of value length) and by whether whole rows come out
-regular.  Marks that pass are used together, because hand-packed rows mix them.
+parentheses, numbers and units, and scored by the type regularity of the pieces it makes (balanced,
+starting with a letter, of value length; by piece and by whole row) and by the consistency of their
+number over the rows.  Marks that pass are used together, because hand-packed rows mix them.
 
 Null fields give no row; blank fields and runs of separators give none either; an unbalanced quote
 or parenthesis is an ordinary character; enclosing quotes and list bullets are removed and a
@@ -31,8 +31,11 @@ CANDIDATES = {
     "dois_pontos": r":",
     "hifen": r"-",
 }
-#: A candidate separates if so many of its pieces, and of its rows, are regular.
-LEAST_PIECES, LEAST_ROWS = 0.75, 0.5
+#: Weights of the score: regular pieces, regular rows, rows that agree in their number of pieces.  A
+#: field holds as many values as it happens to, so agreement in number is the weakest sign.
+WEIGHTS = (0.45, 0.45, 0.1)
+#: A candidate separates from this score on.
+LEAST_SCORE = 0.7
 
 # One character, or a region inside which nothing separates.
 _QUOTED = r'"[^"]*+(?:""[^"]*+)*+"'
@@ -70,9 +73,11 @@ def _long(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def score_marks(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
-    """(campo, marca, linhas, pecas_regulares, linhas_regulares): the score of each candidate mark.
+    """(campo, marca, linhas, pecas_regulares, linhas_regulares, contagem_consistente, pontuacao): the
+    score of each candidate mark.
 
-    One row per source and candidate, whatever the size of the table: both counts combine map-side.
+    ``contagem_consistente`` is the chance that two rows of the mark agree in their number of pieces.
+    One row per source, candidate and number of pieces is shuffled, whatever the size of the table.
     """
     marks = F.array(*[F.struct(F.lit(m).alias("marca"), F.lit(piece_pattern([m])).alias("padrao")) for m in CANDIDATES])
     tried = _long(df, key, fields).withColumn("_m", F.explode(marks))
@@ -80,16 +85,20 @@ def score_marks(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
     tried = tried.where(F.size("pecas") > 1)
     good = F.size(F.filter("pecas", lambda p: F.regexp_replace(F.regexp_replace(p, r"^\s+|\s+$", ""), _BULLET, "").rlike(_REGULAR)))
     counted = tried.select("campo", "marca", F.size("pecas").alias("n"), good.alias("bons"))
-    return counted.groupBy("campo", "marca").agg(
-        F.count("*").alias("linhas"),
-        (F.sum("bons") / F.sum("n")).alias("pecas_regulares"),
-        (F.count_if(F.col("bons") == F.col("n")) / F.count("*")).alias("linhas_regulares"),
+    by_number = counted.groupBy("campo", "marca", "n").agg(F.count("*").alias("linhas"), F.sum("bons").alias("bons"), F.count_if(F.col("bons") == F.col("n")).alias("inteiras"))
+    scored = by_number.groupBy("campo", "marca").agg(
+        F.sum("linhas").alias("linhas"),
+        (F.sum("bons") / F.sum(F.col("n") * F.col("linhas"))).alias("pecas_regulares"),
+        (F.sum("inteiras") / F.sum("linhas")).alias("linhas_regulares"),
+        (F.sum(F.col("linhas") * F.col("linhas")) / (F.sum("linhas") * F.sum("linhas"))).alias("contagem_consistente"),
     )
+    score = sum((F.col(c) * w for c, w in zip(("pecas_regulares", "linhas_regulares", "contagem_consistente"), WEIGHTS)), F.lit(0.0))
+    return scored.withColumn("pontuacao", score)
 
 
 def inferred_marks(df: DataFrame, key: str, fields: list[str]) -> dict[str, list[str]]:
     """Accepted marks of each source; at most one short list per source reaches the driver."""
-    scored = score_marks(df, key, fields).where((F.col("pecas_regulares") >= LEAST_PIECES) & (F.col("linhas_regulares") >= LEAST_ROWS))
+    scored = score_marks(df, key, fields).where(F.col("pontuacao") >= LEAST_SCORE)
     accepted: dict[str, list[str]] = {f: [] for f in fields}
     for row in scored.select("campo", "marca").collect():
         accepted[row["campo"]].append(row["marca"])
