@@ -2,10 +2,14 @@
 
 Words are runs of letters or digits, compared without case and accents.  Seeds are word n-grams of
 the items: in every window of ``RUN`` words of an item the n-gram that is rarest in the corpus is
-kept, so any shared run of ``RUN`` words holds at least one seed.  Corpus documents meet the seeds
-in an equi-join on the n-gram's hash; each meeting is aligned locally (Smith-Waterman over words)
-around the seed, which scores edited and paraphrased copies too, and an exact check measures the
-longest run of equal words.
+kept, so any shared run of ``RUN`` words holds at least one seed.  Corpus n-grams first meet the
+different item n-grams by hash, which also counts them; the seeds are chosen from these counts, and
+only they are matched with the items they stand in, so text that many items share costs nothing for
+each of them.  Each meeting is aligned locally (Smith-Waterman over words) around the seed, which
+scores edited and paraphrased copies too, and an exact check measures the longest run of equal words.
+
+:func:`leaked` asks for runs of equal words, for which long seeds do; :func:`edited_leaks` asks for
+an alignment as good as that of such a run and uses short seeds, which edits leave whole.
 
 Null and empty texts and items leak nothing; an item shorter than the seed has no seed; the same
 document or item given twice counts once.  Whole texts are searched, whatever their length.
@@ -22,8 +26,10 @@ from pyspark.sql import functions as F
 
 from marisma.session import cut_lineage, is_small
 
-#: Words of a seed, words of a shared run, most item n-grams that may be broadcast.
-SEED, RUN, MAX_BROADCAST_SEEDS = 8, 15, 200_000
+#: Words of a seed for runs of equal words and for edited copies, words of a shared run.
+SEED, SHORT_SEED, RUN = 8, 5, 15
+#: Most item n-grams that may be broadcast.
+MAX_BROADCAST_SEEDS = 200_000
 #: Up to so many affected documents their keys are broadcast, so that no other text is shuffled.
 MAX_BROADCAST_DOCUMENTS = 1_000_000
 #: Smith-Waterman scores of equal words, different words and gaps.
@@ -47,22 +53,22 @@ def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     return tokens.select(key, F.posexplode(hashes).alias("pos", "h"))
 
 
-def seeds(items: DataFrame, documents: DataFrame, item: str, item_text: str, doc: str, doc_text: str) -> tuple[DataFrame, DataFrame]:
-    """(meetings of item n-grams with documents, the same for the rarest n-gram of each window)."""
-    own = _grams(items.dropDuplicates([item]), item, item_text, SEED).withColumnRenamed("pos", "item_pos")
-    theirs = _grams(documents, doc, doc_text, SEED)
-    few = own.limit(MAX_BROADCAST_SEEDS + 1).count() <= MAX_BROADCAST_SEEDS
-    met = cut_lineage(theirs.join(F.broadcast(own) if few else own, "h").select(item, "item_pos", doc, "pos", "h"))
+def seeds(items: DataFrame, documents: DataFrame, item: str, item_text: str, doc: str, doc_text: str, n: int = SEED) -> DataFrame:
+    """(item, doc, pos): the places of documents that hold the rarest n-gram of a window of an item."""
+    own = cut_lineage(_grams(items.dropDuplicates([item]), item, item_text, n).withColumnRenamed("pos", "item_pos"))
+    few = is_small(own, MAX_BROADCAST_SEEDS)
+    asked = own.select("h").distinct()
+    met = cut_lineage(_grams(documents, doc, doc_text, n).join(F.broadcast(asked) if few else asked, "h").select(doc, "pos", "h"))
     # Corpus frequency of each item n-gram; those that never occur are rarest and cannot meet.
-    often = met.groupBy("h").agg(F.count_distinct(F.col(doc)).alias("textos"))
-    ranked = own.join(often, "h", "left").select(item, "item_pos", "h", F.coalesce("textos", F.lit(0)).alias("textos"))
-    span = RUN - SEED
+    often = met.groupBy("h").agg(F.count("*").alias("vezes"))
+    ranked = own.join(F.broadcast(often) if few else often, "h", "left").select(item, "item_pos", "h", F.coalesce("vezes", F.lit(0)).alias("vezes"))
+    span = RUN - n
     window = Window.partitionBy(item).orderBy("item_pos").rangeBetween(0, span)
-    rarest = ranked.withColumn("_s", F.min(F.struct("textos", "item_pos")).over(window)).withColumn("_fim", F.max("item_pos").over(Window.partitionBy(item)))
+    rarest = ranked.withColumn("_s", F.min(F.struct("vezes", "item_pos", "h")).over(window)).withColumn("_fim", F.max("item_pos").over(Window.partitionBy(item)))
     # Windows that lie whole inside the item; an item shorter than a run keeps its rarest n-gram.
     rarest = rarest.where((F.col("item_pos") + span <= F.col("_fim")) | ((F.col("_fim") < span) & (F.col("item_pos") == 0)))
-    kept = rarest.select(item, F.col("_s.item_pos").alias("item_pos")).distinct()
-    return met, met.join(F.broadcast(kept) if few else kept, [item, "item_pos"])
+    kept = rarest.select(item, F.col("_s.h").alias("h")).distinct()
+    return met.join(F.broadcast(kept) if few else kept, "h").select(item, doc, "pos")
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> int:
@@ -91,14 +97,14 @@ def longest_run(a: np.ndarray, b: np.ndarray) -> int:
     return best
 
 
-def stretches(places: Column, length: Column) -> Column:
+def stretches(places: Column, length: Column, n: int) -> Column:
     """array<struct<ini, fim>>: word ranges that hold every alignment through the seeds at ``places``
     (sorted); seeds closer than an item's length share one."""
     kind = "array<struct<ini:int,fim:int>>"
 
     def add(acc: Column, p: Column) -> Column:
         last = F.get(acc, F.size(acc) - 1)
-        first, end = F.greatest(p - length, F.lit(0)), p + length + SEED
+        first, end = F.greatest(p - length, F.lit(0)), p + length + n
         joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["ini"].alias("ini"), end.alias("fim"))))
         apart = F.concat(acc, F.array(F.struct(first.alias("ini"), end.alias("fim"))))
         return F.when(F.coalesce(first <= last["fim"], F.lit(False)), joined).otherwise(apart).cast(kind)
@@ -106,14 +112,14 @@ def stretches(places: Column, length: Column) -> Column:
     return F.aggregate(places, F.array().cast(kind), add)
 
 
-def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "texto") -> DataFrame:
+def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text: str = "text", item: str = "item_id", item_text: str = "texto", n: int = SEED) -> DataFrame:
     """(item, doc, alinhamento, corrida) of every item and document that share a seed.
 
     ``alinhamento`` is the best Smith-Waterman score over the item's length, ``corrida`` the
     longest run of shared words.  Only documents that meet a seed are read again, and of a long
     document only the stretches around its seeds are aligned.
     """
-    _, met = seeds(items, documents, item, item_text, doc, doc_text)
+    met = seeds(items, documents, item, item_text, doc, doc_text, n)
     hits = cut_lineage(met.groupBy(item, doc).agg(F.array_sort(F.collect_set("pos")).alias("_pos")))
     item_words = items.dropDuplicates([item]).where(F.col(item_text).isNotNull()).select(item, words(F.col(item_text)).alias("_iw"))
     hits = hits.join(item_words, item)
@@ -123,7 +129,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
         texts = texts.join(F.broadcast(affected), doc, "left_semi")
     texts = texts.select(doc, words(F.col(doc_text)).alias("_dw"))
     # Only the stretches go to Python: a long document is never a row there.
-    pairs = texts.join(hits, doc).select(item, doc, "_iw", "_dw", F.explode(stretches(F.col("_pos"), F.size("_iw"))).alias("_s"))
+    pairs = texts.join(hits, doc).select(item, doc, "_iw", "_dw", F.explode(stretches(F.col("_pos"), F.size("_iw"), n)).alias("_s"))
     pairs = pairs.select(item, doc, "_iw", F.slice("_dw", F.col("_s.ini") + 1, F.col("_s.fim") - F.col("_s.ini")).alias("_trecho"))
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -142,3 +148,9 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", doc_text:
 def leaked(documents: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, doc_id) that share at least ``RUN`` consecutive words."""
     return leaks(documents, items).where(F.col("corrida") >= RUN).select("item_id", "doc_id")
+
+
+def edited_leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, doc_id, alinhamento, corrida) of every document with a passage, copied or edited, that
+    aligns with an item as well as a run of ``RUN`` equal words does."""
+    return leaks(documents, items, n=SHORT_SEED).where(F.col("alinhamento") >= MATCH * RUN)

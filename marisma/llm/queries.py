@@ -108,10 +108,17 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leakage.leaked(table(spark, d, "documents"), table(spark, d, "itens_avaliacao"))
 
 
+def p9_leaks(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with a copied or edited passage of an item, by the score of its alignment."""
+    return leakage.edited_leaks(table(spark, d, "documents"), table(spark, d, "itens_avaliacao"))
+
+
 def p9_items(spark: SparkSession, d: str) -> DataFrame:
-    """Every item that leaked, with its affected documents and best alignment."""
-    found = leakage.leaks(table(spark, d, "documents"), table(spark, d, "itens_avaliacao")).where(F.col("corrida") >= leakage.RUN)
-    return found.groupBy("item_id").agg(F.count("*").alias("documentos"), F.max("corrida").alias("maior_corrida"), F.max("alinhamento").alias("maior_alinhamento"))
+    """Every item that leaked, copied or edited, with its affected documents and best alignment."""
+    found = p9_leaks(spark, d)
+    return found.groupBy("item_id").agg(
+        F.count("*").alias("documentos"), F.count_if(F.col("corrida") >= leakage.RUN).alias("literais"), F.max("corrida").alias("maior_corrida"), F.max("alinhamento").alias("maior_alinhamento")
+    )
 
 
 def _subjects(spark: SparkSession, d: str) -> DataFrame:
@@ -127,7 +134,7 @@ def p10_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates, p6_found, p7_found, p7_repaired, p8_containers, p8_buckets, p9_found, p9_items, p10_found, p10_composition)}
+    return {f.__name__: f for f in (p1_found, p1_unmatched, p2_found, p2_groups, p3_found, p3_collapsed, p5_found, p5_rates, p6_found, p7_found, p7_repaired, p8_containers, p8_buckets, p9_found, p9_leaks, p9_items, p10_found, p10_composition)}
 
 
 # The kinds of characters that TESTDATA.md names, written out: full-width forms and ligatures, combining

@@ -152,6 +152,33 @@ def test_leaks_against_brute_force(spark, rows):
     assert leakage.leaked(df.limit(0), spark.createDataFrame(items, "item_id long, texto string")).count() == 0
 
 
+def edited(words, share, vocabulary):
+    """A copy in which a share of the words is replaced, dropped or preceded by another word."""
+    out = []
+    for w in words:
+        kind = random.choice("rdi") if random.random() < share else ""
+        out += {"r": [random.choice(vocabulary)], "d": [], "i": [random.choice(vocabulary), w]}.get(kind, [w])
+    return out
+
+
+def test_recall_of_edited_copies(spark):
+    random.seed(16)
+    vocabulary = [f"pal{i}" for i in range(400)]
+    text = lambda n: [random.choice(vocabulary) for _ in range(n)]
+    items = [text(60) for _ in range(40)]
+    docs, want = [], set()
+    for d in range(400):
+        words = text(120)
+        if d % 2:
+            words[50:50] = edited(items[d % 40], 0.15, vocabulary)
+            want.add((d % 40, d))
+        docs.append((d, " ".join(words)))
+    found = leakage.edited_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, texto string"))
+    got = {(r.item_id, r.doc_id) for r in found.collect()}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.95 * len(got)
+    assert any(r.corrida < leakage.RUN for r in found.collect())
+
+
 def test_alignment():
     assert leakage.smith_waterman(np.array([1, 2, 3, 4]), np.array([9, 1, 2, 4, 9])) == 5
     assert leakage.longest_run(np.array([1, 2, 3, 4]), np.array([9, 2, 3, 7, 4])) == 2
