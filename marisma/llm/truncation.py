@@ -22,28 +22,26 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marisma.session import cut_lineage, is_small, spread
+from marisma.session import cut_lineage, join_back, spread
 
-#: A word is its own class if at least this share of the texts uses it.  At most
-#: (mean distinct words of a text) / FREQUENT words pass, whatever the number of texts.
+#: A word is its own class if sentences with it are at least this share of the texts.  At most
+#: (mean distinct words of a text's sentences) / FREQUENT words pass, whatever the number of texts.
 FREQUENT = 0.005
 #: Least number of times an n-gram must have been seen to decide, and the terminal share of a cut.
 SUPPORT, TERMINAL = 3, 0.05
 RARE = "¤"
-#: Up to so many cut texts are broadcast to find their rows; beyond, they meet over ``SALTS`` salts.
-MAX_BROADCAST_TEXTS, SALTS = 100_000, 16
+#: Up to so many cut texts are broadcast to find their rows.
+MAX_BROADCAST_TEXTS = 100_000
 
 _DIFFERENT = "SELECT md5(texto) AS chave, texto FROM (SELECT DISTINCT texto FROM {texts} WHERE texto IS NOT NULL)"
 
 _SENTENCES = r"""
-SELECT chave, forma, pos, pos = n - 1 AS ultima, tokens,
+SELECT chave, forma, pos = n - 1 AS ultima, tokens,
        size(tokens) AS k,
-       pos < n - 1 OR (corpo RLIKE '[.!?)]["”’)]*$' AND NOT omissao) AS fechada,
-       omissao AND pos = n - 1 AS omissao
+       pos < n - 1 OR (corpo RLIKE '[.!?)]["”’)]*$' AND NOT omissao) AS fechada
 FROM (
   SELECT chave, forma, pos, n, corpo, omissao,
-         transform(regexp_extract_all(lower(corpo), '[\\pL\\pN%]+|[,;:()!?]', 0),
-                   t -> regexp_replace(t, '[0-9]+', '#')) AS tokens
+         regexp_extract_all(regexp_replace(lower(corpo), '[0-9]+', '#'), '[\\pL\\pN%#]+|[,;:()!?]', 0) AS tokens
   FROM (
     SELECT chave, forma, omissao, pos, corpo, size(partes) AS n
     FROM (SELECT chave, omissao, split(limpo, '(?<=[.!?])\\s+') AS partes,
@@ -59,14 +57,9 @@ FROM (
 WHERE size(tokens) > 0
 """
 
-_WORDS = r"""
-SELECT palavra FROM (
-  SELECT palavra, count(*) AS textos FROM (
-    SELECT explode(array_distinct(transform(regexp_extract_all(lower(texto), '[\\pL\\pN%]+|[,;:()!?]', 0),
-                                            t -> regexp_replace(t, '[0-9]+', '#')))) AS palavra
-    FROM {texts})
-  GROUP BY palavra)
-WHERE textos >= {least}
+_WORDS = """
+SELECT palavra FROM (SELECT palavra, count(*) AS frases FROM (SELECT explode(array_distinct(tokens)) AS palavra FROM {sentences}) GROUP BY palavra)
+WHERE frases >= {least}
 """
 
 # The 3-, 5- and 7-gram that end at each position of a sentence.
@@ -91,11 +84,11 @@ GROUP BY g
 
 _ENDS = """
 SELECT chave, forma, substring_index(g3, ' ', 2) AS contexto, palavra, g3, g5, g7
-FROM (SELECT chave, forma, element_at(tokens, -1) AS palavra,
+FROM (SELECT chave, forma, palavra,
              array_join(slice(fita, k + 4, 3), ' ') AS g3,
              array_join(slice(fita, k + 2, 5), ' ') AS g5,
              array_join(slice(fita, k, 7), ' ') AS g7
-      FROM (SELECT chave, forma, k, tokens, concat(array_repeat('^', 6), classes) AS fita FROM {classed} WHERE ultima AND NOT fechada))
+      FROM (SELECT chave, forma, k, palavra, concat(array_repeat('^', 6), classes) AS fita FROM {classed} WHERE ultima AND NOT fechada))
 """
 
 # Words that follow a context, to tell a broken word from a whole one.
@@ -125,7 +118,9 @@ LEFT JOIN {counts} c7 ON c7.g = e.g7
 _BROKEN = """
 SELECT DISTINCT j.contexto, j.palavra
 FROM (SELECT contexto, palavra, max(iguais) AS iguais FROM {judged} WHERE n3 < {support} OR raro GROUP BY contexto, palavra) j
-JOIN {followers} f ON f.contexto = j.contexto AND f.seguinte <> j.palavra AND startswith(f.seguinte, j.palavra)
+JOIN (SELECT contexto, vezes, solto, explode(transform(sequence(1, length(seguinte) - 1), i -> left(seguinte, i))) AS comeco
+      FROM {followers} WHERE length(seguinte) > 1) f
+  ON f.contexto = j.contexto AND f.comeco = j.palavra
 WHERE f.vezes >= {support} OR f.solto > 5 * (j.iguais + 1)
 """
 
@@ -145,9 +140,9 @@ END
 """
 
 
-def _frequent_words(texts: DataFrame) -> list[str]:
+def _frequent_words(sentences: DataFrame, texts: DataFrame) -> list[str]:
     least = max(2.0, FREQUENT * texts.count())
-    return [r[0] for r in texts.sparkSession.sql(_WORDS, texts=texts, least=least).collect()]
+    return [r[0] for r in texts.sparkSession.sql(_WORDS, sentences=sentences, least=least).collect()]
 
 
 def _classed(sentences: DataFrame, words: list[str]) -> DataFrame:
@@ -161,7 +156,7 @@ def _classed(sentences: DataFrame, words: list[str]) -> DataFrame:
     table = F.from_json(F.lit(json.dumps(buckets)), "array<array<string>>")
     known = lambda t: F.array_contains(F.element_at(table, (F.pmod(F.xxhash64(t), F.lit(slots)) + 1).cast("int")), t)
     classes = F.transform("tokens", lambda t: F.when(known(t), t).otherwise(F.lit(RARE)))
-    return sentences.withColumn("classes", classes)
+    return sentences.select("chave", "forma", "ultima", "fechada", "k", F.element_at("tokens", -1).alias("palavra"), classes.alias("classes"))
 
 
 def cut_texts(texts: DataFrame) -> DataFrame:
@@ -170,7 +165,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     # Several passes read the different texts; they are made once.
     different = cut_lineage(spread(spark.sql(_DIFFERENT, texts=texts), "chave"))
     sentences = spark.sql(_SENTENCES, texts=different)
-    classed = _classed(sentences, _frequent_words(different))
+    # Counting, ends and followers read the classes; texts are cut into tokens for them once.
+    classed = cut_lineage(_classed(sentences, _frequent_words(sentences, different)))
     grams = spark.sql(_GRAMS, classed=classed)
     # n-grams of classes are few however many texts there are; they are written once.
     counts = cut_lineage(spark.sql(_COUNTS, grams=grams))
@@ -180,12 +176,7 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     broken = spark.sql(_BROKEN, judged=judged, followers=followers, support=SUPPORT)
     cut = cut_lineage(spark.sql(_CUT, texts=different, judged=judged, broken=broken, support=SUPPORT, terminal=TERMINAL))
     rows = texts.where("texto IS NOT NULL").select("tabela", "id", F.md5("texto").alias("chave"))
-    if is_small(cut, MAX_BROADCAST_TEXTS):
-        met = rows.join(F.broadcast(cut), "chave")
-    else:
-        salts = F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))
-        met = rows.withColumn("_s", F.pmod(F.xxhash64("tabela", "id"), F.lit(SALTS))).join(cut.withColumn("_s", F.explode(salts)), ["chave", "_s"])
-    return met.select("tabela", "id").distinct()
+    return join_back(rows, cut, ["chave"], MAX_BROADCAST_TEXTS).select("tabela", "id").distinct()
 
 
 def cut_rates(texts: DataFrame) -> DataFrame:
