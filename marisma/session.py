@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,20 +70,26 @@ def join_back(rows: DataFrame, keyed: DataFrame, on: list[str], most: int) -> Da
     return near.unionByName(rows.join(hot, on, "left_anti").join(keyed, on))
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """``df`` as a reliable checkpoint, so that a lost executor re-reads it instead of recomputing.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``.  Only where that is unset
-    (tests, a laptop) a local folder of our own is used.
-    """
-    spark = df.sparkSession
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names in ``spark.checkpoint.dir``.  Only where that is unset (tests, a
+    laptop) it is a local folder of our own, removed when the process ends."""
     sc = spark.sparkContext
-    jsc = sc._jsc.sc()
-    if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = os.path.join(tempfile.gettempdir(), f"marisma-checkpoints-{os.getpid()}")
-        sc.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    named = sc._jsc.sc().getCheckpointDir()
+    if named.isDefined():
+        return named.get()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="marisma-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder, so that a lost executor re-reads it instead of
+    recomputing.  Written as Parquet: compressed, and later stages read only the columns they use."""
+    path = f"{_shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
