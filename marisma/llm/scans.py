@@ -111,14 +111,20 @@ SELECT tabela, chave, regexp_extract(achado, '{_BREAK}', 2) AS marca,
 FROM (SELECT tabela, chave, explode(regexp_extract_all(texto, '{_BREAK}', 0)) AS achado FROM {{bodies}} WHERE contains(texto, chr(10)))
 """
 
-# How often the hyphenated and the joined form of each break occur inside lines.
+# How often the hyphenated and the joined form of each break occur inside lines, counted in one pass.
 _EVIDENCE = r"""
 SELECT p.antes, p.depois, coalesce(c.n, 0) > coalesce(w.n, 0) AS composto
 FROM (SELECT DISTINCT lower(antes) AS antes, lower(depois) AS depois FROM {breaks} WHERE marca <> '¬') p
-LEFT JOIN (SELECT forma, count(*) AS n FROM (SELECT explode(regexp_extract_all(lower(texto), '\\pL+-\\pL+', 0)) AS forma FROM {bodies}) GROUP BY forma) c
-  ON c.forma = concat(p.antes, '-', p.depois)
-LEFT JOIN (SELECT palavra, count(*) AS n FROM (SELECT explode(regexp_extract_all(lower(texto), '\\pL+', 0)) AS palavra FROM {bodies}) GROUP BY palavra) w
-  ON w.palavra = concat(p.antes, p.depois)
+LEFT JOIN {forms} c ON c.forma = concat(p.antes, '-', p.depois)
+LEFT JOIN {forms} w ON w.forma = concat(p.antes, p.depois)
+"""
+
+_FORMS = r"""
+SELECT forma, count(*) AS n FROM (
+  SELECT explode(concat(regexp_extract_all(baixo, '\\pL+-\\pL+', 0), regexp_extract_all(baixo, '\\pL+', 0))) AS forma
+  FROM (SELECT lower(texto) AS baixo FROM {bodies}))
+WHERE forma IN (SELECT lower(concat(antes, '-', depois)) FROM {breaks} UNION ALL SELECT lower(concat(antes, depois)) FROM {breaks})
+GROUP BY forma
 """
 
 _DIVIDED = """
@@ -130,17 +136,20 @@ FROM {breaks} b LEFT JOIN {evidence} e ON e.antes = lower(b.antes) AND e.depois
 def divided_words(bodies: DataFrame) -> DataFrame:
     """(tabela, chave, antes, depois, marca, composto) of every word broken at a line end."""
     spark = bodies.sparkSession
-    breaks = spark.sql(_BREAKS, bodies=bodies)
-    return spark.sql(_DIVIDED, breaks=breaks, evidence=spark.sql(_EVIDENCE, breaks=breaks, bodies=bodies))
+    breaks = cut_lineage(spark.sql(_BREAKS, bodies=bodies))
+    forms = cut_lineage(spark.sql(_FORMS, breaks=breaks, bodies=bodies))
+    return spark.sql(_DIVIDED, breaks=breaks, evidence=spark.sql(_EVIDENCE, breaks=breaks, forms=forms))
 
 
 # Sum over the characters of (code mod 1009)^5: equal for anagrams, additive over replacements.
 _HASH = "aggregate(split({w}, ''), 0L, (s, c) -> s + CASE WHEN c = '' THEN 0L ELSE cast(pow(ascii(c) % 1009, 5) AS bigint) END)"
 
+# The different words of each text, and two hashes of its letters, digits and signs.
 _TEXT_WORDS = r"""
-SELECT {colunas}, palavra FROM (
-  SELECT {colunas}, explode(array_distinct(regexp_extract_all(lower(texto), '[\\pL\\pN@]+(?:(?<=c),(?=\\pL)[\\pL\\pN@]+)*', 0))) AS palavra FROM {joined})
-WHERE palavra RLIKE '\\pL' AND NOT palavra RLIKE '^\\pN+\\pL{{1,3}}$|^\\pL{{1,3}}\\pN+$'
+SELECT tabela, chave, linha, xxhash64(1, forma) AS h1, xxhash64(2, forma) AS h2,
+       filter(array_distinct(regexp_extract_all(baixo, '[\\pL\\pN@]+(?:(?<=c),(?=\\pL)[\\pL\\pN@]+)*', 0)),
+              p -> p RLIKE '\\pL' AND NOT p RLIKE '^\\pN+\\pL{{1,3}}$|^\\pL{{1,3}}\\pN+$') AS palavras
+FROM (SELECT *, regexp_replace(baixo, '[^\\pL\\pN@]+', '') AS forma FROM (SELECT tabela, chave, linha, lower(texto) AS baixo FROM {joined}))
 """
 
 _VARIANTS = """
@@ -195,20 +204,18 @@ def corrections(words: DataFrame) -> DataFrame:
     return found.unionByName(signs.join(found, "palavra", "left_anti"))
 
 
-def _different(joined: DataFrame) -> DataFrame:
-    """(linha, texto, linhas): one row of each text of (linha, texto), with the number of its rows.
+def _different(rows: DataFrame) -> DataFrame:
+    """(palavras, linhas): one row of each text of (linha, h1, h2, palavras), with the number of its rows.
 
     Texts of the same letters, digits and signs are one.  Only hashes are grouped; the few rows that
     are copies or have some are marked by their number.
     """
-    form = F.regexp_replace(F.lower("texto"), r"[^\pL\pN@]+", "")
-    forms = joined.select("linha", F.xxhash64(F.lit(1), form).alias("h1"), F.xxhash64(F.lit(2), form).alias("h2"))
-    first = forms.groupBy("h1", "h2").agg(F.min("linha").alias("linha"), F.count("*").alias("linhas")).select("linha", "linhas")
-    marks = joined.select("linha").join(first, "linha", "left").select("linha", F.coalesce("linhas", F.lit(0)).alias("linhas"))
+    first = rows.groupBy("h1", "h2").agg(F.min("linha").alias("linha"), F.count("*").alias("linhas")).select("linha", "linhas")
+    marks = rows.select("linha").join(first, "linha", "left").select("linha", F.coalesce("linhas", F.lit(0)).alias("linhas"))
     marks = cut_lineage(marks.where("linhas <> 1"))
     marks = F.broadcast(marks) if is_small(marks, MAX_BROADCAST_ROWS) else marks
-    rows = joined.join(marks, "linha", "left").select("linha", "texto", F.coalesce("linhas", F.lit(1)).alias("linhas"))
-    return rows.where("linhas > 0")
+    marked = rows.select("linha", "palavras").join(marks, "linha", "left").select("palavras", F.coalesce("linhas", F.lit(1)).alias("linhas"))
+    return marked.where("linhas > 0")
 
 
 class Repair:
@@ -224,10 +231,10 @@ class Repair:
         self.bodies = cut_lineage(without_edges(clean).withColumn("linha", F.monotonically_increasing_id()))
         self.divided = divided_words(self.bodies)
         joined = self.bodies.withColumn("texto", F.regexp_replace("texto", _JOIN, ""))
-        self.text_words = joined.sparkSession.sql(_TEXT_WORDS.replace("{colunas}", "tabela, chave"), joined=joined)
-        different = _different(joined.select("linha", "texto"))
-        counted = joined.sparkSession.sql(_TEXT_WORDS.replace("{colunas}", "linhas"), joined=different)
-        counted = counted.groupBy("palavra").agg(F.count("*").alias("n"), F.sum("linhas").alias("linhas"))
+        # Counting and finding read the words; texts are cut into words once.
+        rows = cut_lineage(joined.sparkSession.sql(_TEXT_WORDS, joined=joined))
+        self.text_words = rows.select("tabela", "chave", F.explode("palavras").alias("palavra"))
+        counted = _different(rows).select("linhas", F.explode("palavras").alias("palavra")).groupBy("palavra").agg(F.count("*").alias("n"), F.sum("linhas").alias("linhas"))
         if known is None:
             words = counted.withColumn("aceita", F.lit(False))
         else:
