@@ -9,11 +9,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from marisma.functions.vocabulary import STOP_WORDS
+
 # Composed Latin letters and their base letters.
 _ACCENTED = "áàâãäåāăąéèêëēėęěíìîïīįóòôõöōőúùûüūůűçćčñńňýÿžźżšśğťřďľ"
 _PLAIN = "aaaaaaaaaeeeeeeeeiiiiiiooooooouuuuuuucccnnnyyzzzssgtrdl"
-# Words that carry no content of their own.
-STOP_WORDS = "a ao aos as com da das de do dos e em na nas no nos o os ou para pela pelas pelo pelos por que se sem um uma".split()
 
 
 def without_accents(text: Column) -> Column:
@@ -27,8 +27,8 @@ def fold_name(text: Column) -> Column:
 
 def fold_target(text: Column) -> Column:
     """Identity of a mentioned target: no trade marks, no border punctuation."""
-    bare = fold_name(F.regexp_replace(text, "[®™©]", ""))
-    return F.regexp_replace(bare, r"^[\s.,;:()\[\]\"'*-]+|[\s.,;:()\[\]\"'*-]+$", "")
+    bare = fold_name(F.regexp_replace(text, "[®™©]", " "))
+    return F.regexp_replace(bare, r"^[\s.,;:!?()\[\]{}\"'*…-]+|[\s.,;:!?()\[\]{}\"'*…-]+$", "")
 
 
 def quotation_key(text: Column) -> Column:
@@ -57,6 +57,11 @@ def not_blank(text: Column) -> Column:
     return F.nullif(F.btrim(text), F.lit("")).isNotNull()
 
 
+def is_filled(text: Column) -> Column:
+    """Text that is not null and has more than white space of any kind."""
+    return F.coalesce(text, F.lit("")).rlike(r"(?U)\S")
+
+
 def display_name(name: Column, key: Column) -> Column:
     return F.coalesce(F.nullif(F.btrim(name), F.lit("")), key)
 

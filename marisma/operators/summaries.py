@@ -10,8 +10,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marisma.functions.rules import DECREASE, INCREASE, clauses_about
+from marisma.functions.rules import clauses_about
 from marisma.functions.text import fold_name, fold_target, not_blank
+from marisma.functions.vocabulary import DECREASE, INCREASE
 
 LITERAL_CHARS, LITERAL_COMMAS = 400, 4
 CARD_LENGTH, GENERAL_LENGTH = (40, 600), (60, 1200)

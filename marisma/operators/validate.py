@@ -5,17 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marisma.functions.rules import contains_term, fidelity_flags, is_not_positive
+from marisma.functions.rules import clauses_about, contains_term, fidelity_flags, is_not_positive
 from marisma.functions.text import fold_name, fold_target, list_of, plain_words, relevant_words
+from marisma.functions.vocabulary import GENERIC_HEADS
 from marisma.operators.catalog import key_words
 
 MAX_TARGET, MAX_SUMMARY = 150, 300
-# First words that name an effect, a dose or a function instead of something taken.
-GENERIC_HEADS = (
-    "droga drogas medicamento medicamentos farmaco farmacos substancia substancias produto produtos agente agentes alteracao alteracoes teste testes exame exames "
-    "efeito efeitos sistema tratamento paciente pacientes dose doses funcao fluxo retencao mucosa nivel niveis tempo risco absorcao excrecao eliminacao concentracao "
-    "concentracoes toxicidade sangramento hemostasia uso administracao outros outras demais"
-).split()
 
 
 def is_generic(target: Column, kind: Column) -> Column:
@@ -43,7 +38,7 @@ def target_verdicts(relations: DataFrame, catalog: DataFrame) -> DataFrame:
     words = F.split(key_words(fold_target(alvo)), " ")
     self_named = F.coalesce(F.exists("_nomes", lambda n: F.size(F.array_except(words, n)) == 0), F.lit(False))
     invalid = ~alvo.rlike(r"\pL") | (F.length(alvo) > MAX_TARGET) | (resumo == "") | (F.length(resumo) > MAX_SUMMARY)
-    rows = rows.withColumn("_f", fidelity_flags(F.col("resumo"), evidencia))
+    rows = rows.withColumn("_f", fidelity_flags(F.col("resumo"), evidencia, F.array_join(clauses_about(fold_name(evidencia), fold_target(alvo)), " ")))
     reason = (
         F.when(invalid, "ALVO_INVALIDO")
         .when(self_named, "ALVO_E_ORIGEM")
@@ -51,10 +46,12 @@ def target_verdicts(relations: DataFrame, catalog: DataFrame) -> DataFrame:
         .when(F.trim(evidencia) == "", "EVIDENCIA_NAO_ENCONTRADA")
         .when(~is_mentioned(evidencia, alvo), "ALVO_AUSENTE_NA_EVIDENCIA")
         .when(is_not_positive(evidencia, alvo), "RELACAO_NAO_POSITIVA")
+        .when(F.col("_f.negacao_perdida"), "RESUMO_OMITE_NEGACAO")
+        .when(F.col("_f.quantidade_perdida") | F.col("_f.condicao_perdida"), "RESUMO_OMITE_QUANTIDADE")
         .when(F.col("_f.via_perdida"), "RESUMO_OMITE_VIA")
         .when(F.col("_f.gravidade_inventada"), "RESUMO_INVENTA_GRAVIDADE")
-        .when(F.col("_f.direcao_inventada"), "RESUMO_INVENTA_DIRECAO")
-        .when(F.col("_f.pouco_apoio"), "RESUMO_SEM_APOIO")
+        .when(F.col("_f.direcao_inventada"), "RESUMO_INVENTA_EFEITO")
+        .when(F.col("_f.pouco_apoio"), "RESUMO_SEM_APOIO_NA_EVIDENCIA")
     )
     return rows.select("id", reason.alias("motivo"))
 

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marisma.functions import rules, text
-from marisma.operators import answers, audit, catalog, chunks, composition, identify, packed, sections, summaries, validate, writes
+from marisma.functions import rules, text, vocabulary
+from marisma.operators import answers, audit, chunks, composition, packed, passages, sections, summaries, validate, writes
 from marisma.plans import runs
 from marisma.schemas import run_checks
-from marisma.session import spread, table
+from marisma.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,8 +38,8 @@ def _fold(x: str) -> str:
 
 
 def _target(x: str) -> str:
-    bare = _fold(f"regexp_replace({x}, '[®™©]', '', 'g')")
-    border = r"""[\s.,;:()\[\]"''*-]+"""
+    bare = _fold(f"regexp_replace({x}, '[®™©]', ' ', 'g')")
+    border = r"""[\s.,;:!?()\[\]{}"''*…-]+"""
     return f"regexp_replace({bare}, '^{border}|{border}$', '', 'g')"
 
 
@@ -75,7 +75,7 @@ def _latest(name: str, status: tuple[str, ...]) -> str:
 _CURRENT = _latest("vigentes", runs.DONE)
 _REGISTERED = _latest("registrados", (*runs.DONE, "REVISAO_NECESSARIA"))
 
-_RELEVANT = f"list_filter({{w}}, lambda x: length(x) >= 3 AND NOT list_contains({list(text.STOP_WORDS)!r}, x))"
+_RELEVANT = f"list_filter({{w}}, lambda x: length(x) >= 3 AND NOT list_contains({list(vocabulary.STOP_WORDS)!r}, x))"
 _DEHYPHEN = r"regexp_replace(coalesce({x}, ''), '(\p{{L}})-\s*\n\s*(\p{{L}})', '\1\2', 'g')"
 _CLAUSES = r"list_filter(string_split_regex({x}, '{end}'), lambda c: trim(c) <> '')"
 
@@ -83,11 +83,11 @@ _CLAUSES = r"list_filter(string_split_regex({x}, '{end}'), lambda c: trim(c) <>
 def _not_positive(evidence: str, target: str) -> str:
     """CTE body columns: _f folded evidence, _t folded target -> expression over them."""
     words = _RELEVANT.format(w=_words("_t"))
-    own = _CLAUSES.format(x="_f", end=rules.CLAUSE_END.replace("'", "''"))
+    own = _CLAUSES.format(x="_f", end=vocabulary.CLAUSE_END.replace("'", "''"))
     inside = lambda c, t: f"(len({_words(t)}) > 0 AND contains({_padded(c)}, {_padded(t)}))"
     names = f"({inside('c', '_t')} OR (len({words}) > 0 AND len(list_filter({words}, lambda w: NOT {inside('c', 'w')})) = 0))"
-    return f"""SELECT *, (len(list_filter(proprias, lambda c: regexp_matches(c, '{rules.ABSENCE}'))) > 0
-                     AND len(list_filter(proprias, lambda c: regexp_matches(c, '{rules.RECOMMENDATION}'))) = 0) AS nao_positiva
+    return f"""SELECT *, (len(list_filter(proprias, lambda c: regexp_matches(c, '{vocabulary.ABSENCE}'))) > 0
+                     AND len(list_filter(proprias, lambda c: regexp_matches(c, '{vocabulary.RECOMMENDATION}'))) = 0) AS nao_positiva
       FROM (SELECT *, CASE WHEN len(citam) > 0 THEN citam ELSE [_f] END AS proprias
             FROM (SELECT *, list_filter({own}, lambda c: {names}) AS citam
                   FROM (SELECT i.*, {_fold(_DEHYPHEN.format(x=evidence))} AS _f, {_target(f"coalesce({target}, '')")} AS _t FROM interacoes i)))"""
@@ -475,32 +475,10 @@ def absence_filter(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "interacoes").select("id", rules.is_not_positive(F.col("evidencia"), F.col("alvo")).alias("nao_positiva"))
 
 
-@query(f"""WITH w AS (SELECT id, list_filter({_words(_fold('resumo'))}, lambda x: length(x) >= 4 AND NOT regexp_matches(x, '[0-9]')) AS s,
-      list_transform(list_filter({_words(_fold('evidencia'))}, lambda x: length(x) >= 4), lambda x: left(x, 5)) AS e FROM interacoes)
-  SELECT id, round(CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: list_contains(e, left(x, 5)))) / CAST(len(s) AS DOUBLE) END, 6) AS apoio FROM w""")
-def lexical_support(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "interacoes").select("id", F.round(rules.lexical_support(F.col("resumo"), F.col("evidencia")), 6).alias("apoio"))
 
 
-@query(r"""WITH n AS (SELECT id, list_distinct(list_transform(regexp_extract_all(E, '(\d+(?:[.,]\d+)?)\s*(?:mg|mcg|g|ml|l|ui|meq|mmol|gotas?|comprimidos?|capsulas?)(?:[^a-z]|$)', 1), lambda x: replace(x, '.', ','))) AS e FROM (SELECT id, FOLD AS E FROM interacoes))
-  SELECT id, array_to_string(list_sort(e), ' ') AS perdidas FROM n""".replace("FOLD", _fold("evidencia")))
-def missing_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts of the evidence that an empty summary lacks, which are all of them."""
-    return table(spark, d, "interacoes").select("id", F.array_join(rules.missing_amounts(F.lit(""), F.col("evidencia")), " ").alias("perdidas"))
 
-
-_AMOUNTS = r"list_distinct(list_transform(regexp_extract_all(FOLD, '(\d+(?:[.,]\d+)?)\s*(?:mg|mcg|g|ml|l|ui|meq|mmol|gotas?|comprimidos?|capsulas?)(?:[^a-z]|$)', 1), lambda x: replace(x, '.', ',')))"
-
-
-@query(f"""WITH n AS (SELECT id, {_AMOUNTS.replace("FOLD", _fold("evidencia"))} AS e, {_AMOUNTS.replace("FOLD", _fold("coalesce(resumo, '')"))} AS s FROM interacoes)
-  SELECT id, array_to_string(list_sort(list_filter(e, lambda x: NOT list_contains(s, x))), ' ') AS perdidas FROM n""")
-def summary_missing_numbers(spark: SparkSession, d: str) -> DataFrame:
-    """Amounts of the evidence that its summary lost; a null summary lost all."""
-    lost = rules.missing_amounts(F.coalesce("resumo", F.lit("")), F.col("evidencia"))
-    return table(spark, d, "interacoes").select("id", F.array_join(lost, " ").alias("perdidas"))
-
-
-@query(f"""SELECT direcao, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(f, '{rules.INCREASE}') THEN 'AUMENTO' WHEN regexp_matches(f, '{rules.DECREASE}') THEN 'REDUCAO' ELSE 'OUTRO' END AS direcao
+@query(f"""SELECT direcao, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(f, '{vocabulary.INCREASE}') THEN 'AUMENTO' WHEN regexp_matches(f, '{vocabulary.DECREASE}') THEN 'REDUCAO' ELSE 'OUTRO' END AS direcao
   FROM (SELECT {_fold('resumo')} AS f FROM interacoes)) GROUP BY 1""")
 def effect_groups(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "interacoes").groupBy(rules.effect_direction(text.fold_name(F.col("resumo"))).alias("direcao")).agg(F.count("*").alias("n"))
@@ -516,11 +494,6 @@ def template_groups(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy("molde").agg(F.count("*").alias("n"), F.min("id").alias("primeiro"))
 
 
-@query()
-def summary_fidelity(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "interacoes")
-    return rows.select("id", rules.fidelity_flags(F.col("resumo"), F.col("evidencia")).alias("_f")).select("id", "_f.*")
-
 
 @query(r"""WITH s AS (SELECT nome_normalizado, trecho_interacoes AS t FROM bulas_interacoes WHERE nullif(trim(trecho_interacoes, ' '), '') IS NOT NULL),
     p AS (SELECT nome_normalizado, string_split(regexp_replace(regexp_replace(regexp_replace(t, '\n[ \t]*\n', chr(1), 'g'), '\n([ \t]*[-•▪●◦*])', chr(1) || '\1', 'g'),
@@ -528,12 +501,8 @@ def summary_fidelity(spark: SparkSession, d: str) -> DataFrame:
     n AS (SELECT nome_normalizado, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS trecho FROM p)
   SELECT nome_normalizado, trecho, trim(x, E' \n\r\t') AS texto FROM n WHERE trim(x, E' \n\r\t') <> ''""")
 def text_passages(spark: SparkSession, d: str) -> DataFrame:
-    return identify.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
-
+    return passages.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
 
-@query()
-def target_verdicts(spark: SparkSession, d: str) -> DataFrame:
-    return validate.target_verdicts(table(spark, d, "interacoes"), table(spark, d, "bulas"))
 
 
 @query()
@@ -554,39 +523,10 @@ def unit_context(spark: SparkSession, d: str) -> DataFrame:
     return validate.unit_context(_lines(spark, d), "doc", "n", "texto")
 
 
-@query()
-def dictionary_matches(spark: SparkSession, d: str) -> DataFrame:
-    source = spread(table(spark, d, "bulas_interacoes").select("nome_normalizado", "trecho_interacoes"))
-    parts = identify.passages(source, "nome_normalizado", "trecho_interacoes")
-    return identify.dictionary_matches(parts, "nome_normalizado", catalog.terms(table(spark, d, "bulas")))
-
-
-@query()
-def identified_mentions(spark: SparkSession, d: str) -> DataFrame:
-    return identify.identify(table(spark, d, "bulas_interacoes"), table(spark, d, "bulas")).drop("texto")
-
-
-@query()
-def identified_relations(spark: SparkSession, d: str) -> DataFrame:
-    return identify.relations(identify.identify(table(spark, d, "bulas_interacoes"), table(spark, d, "bulas")))
-
-
-@query()
-def identification_status(spark: SparkSession, d: str) -> DataFrame:
-    source = table(spark, d, "bulas_interacoes")
-    return identify.run_status(source, identify.relations(identify.identify(source, table(spark, d, "bulas"))))
 
 
-@query()
-def resolved_targets(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "interacoes").select("id", "medicamento_origem", "alvo")
-    return catalog.resolve(rows, table(spark, d, "bulas"), "alvo", "medicamento_origem").select("id", "medicamento_relacionado", "criterio_vinculo")
 
 
-@query()
-def rejection_histogram(spark: SparkSession, d: str) -> DataFrame:
-    found = identify.identify(table(spark, d, "bulas_interacoes"), table(spark, d, "bulas"))
-    return found.groupBy(F.coalesce("motivo", F.lit("ACEITO")).alias("motivo")).agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- line documents and summaries
@@ -721,13 +661,17 @@ def mean_pooling(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
     """Passages of each text packed in order into windows of 120 words."""
-    parts = identify.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
+    parts = passages.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
     sizes = parts.select("nome_normalizado", "trecho", F.size(F.split("texto", r"\s+")).alias("_n"))
     listed = sizes.groupBy("nome_normalizado").agg(F.array_sort(F.collect_list(F.struct("trecho", "_n"))).alias("_l"))
     cuts = chunks.token_windows(F.transform("_l", lambda x: x["_n"]), 120)
     return listed.select("nome_normalizado", F.size("_l").alias("trechos"), F.array_join(cuts, ",").alias("inicios"))
 
 
+# The other modules register theirs in the same tables.
+from marisma import queries_identify  # noqa: E402, F401
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from marisma.operators import catalog, chunks, identify
+from marisma.operators import catalog, chunks, identify, passages
 from marisma.schemas import TABLES
 from pyspark.sql import functions as F
 
@@ -33,13 +33,58 @@ def test_longest_and_dehyphenated(spark, entries):
 def test_own_origin_and_negation(spark, entries):
     assert found(spark, entries, "A varfarina e o Marevan aumentam o efeito da digoxina.", "marevan") == {("varfarina", "ALVO_E_ORIGEM"), ("marevan", "ALVO_E_ORIGEM"), ("digoxina", None)}
     assert ("digoxina", "RELACAO_NAO_POSITIVA") in found(spark, entries, "Não foram observadas interações com a digoxina.")
-    assert ("digoxina", "EXCECAO") in found(spark, entries, "Evite glicosídeos, exceto a digoxina.")
+    assert ("digoxina", "RELACAO_NAO_POSITIVA") in found(spark, entries, "Evite glicosídeos, exceto a digoxina.")
+    assert ("digoxina", None) in found(spark, entries, "Evite glicosídeos, exceto um; a digoxina aumenta.")
+    text = "Não foram observadas interações com a digoxina; a amiodarona aumenta os níveis da origem. A varfarina não alterou a farmacocinética da origem."
+    assert found(spark, entries, text) == {("digoxina", "RELACAO_NAO_POSITIVA"), ("amiodarona", None), ("varfarina", "RELACAO_NAO_POSITIVA")}
+    far = "Tabela sem pontuação " + "coluna " * 60
+    assert ("digoxina", None) in found(spark, entries, f"Não houve interação com x {far} digoxina {far}")
 
 
 def test_same_substance_and_acronym(spark, entries):
     assert ("lurasidona", "ALVO_E_ORIGEM") in found(spark, entries, "Evite lurasidona.", "lur")
-    assert ("aas", None) in found(spark, entries, "Evite AAS.")
-    assert ("aas", "SIGLA_EM_MINUSCULAS") in found(spark, entries, "Use um aas qualquer.")
+    assert found(spark, entries, "O uso com Marevan® aumenta o efeito. Evite AAS. Use um aas qualquer.") == {("marevan", None), ("aas", None)}
+    assert found(spark, entries, "EVITE AAS E OUTROS.") == set()
+
+
+def test_ignored_contextual_enantiomer_and_excipients(spark, entries):
+    names = TABLES["bulas"].names
+    more = [("litocit", "citrato de potássio"), ("calcio d", "cálcio"), ("limiar", "limiaril"), ("levox", "levocetirizina"), ("zyr", "cetirizina")]
+    rows = entries.unionByName(spark.createDataFrame([tuple({"nome_normalizado": n, "principios_ativos": p, "status": "CONCLUIDO"}.get(c) for c in names) for n, p in more], TABLES["bulas"]))
+    assert found(spark, rows, "Reduz o limiar convulsivo.") == {("limiar", "ALVO_GENERICO")}
+    assert found(spark, rows, "Os níveis séricos de cálcio caem.") == {("calcio", "ALVO_GENERICO")}
+    assert found(spark, rows, "Suplementos de cálcio reduzem a absorção.") == {("calcio", None)}
+    assert found(spark, rows, "A cetirizina aumenta o efeito.", "levox") == {("cetirizina", "ALVO_E_ORIGEM")}
+    assert found(spark, rows, "Atenção: contém o corante digoxina.") == {("digoxina", "ALVO_GENERICO")}
+
+
+def test_list_item_and_links(spark, entries):
+    source = spark.createDataFrame([("produto teste", "6. INTERAÇÕES MEDICAMENTOSAS\n- Varfarina: aumento do risco de sangramento."), ("marevan", "  "), ("digoxina", "Anticoagulantes e alimentos.")], "nome_normalizado string, trecho_interacoes string")
+    found = identify.identify(source, entries)
+    rel = identify.relations(found)
+    (r,) = rel.collect()
+    assert (r.alvo, r.tipo_alvo, r.evidencia, r.resumo) == ("Varfarina", "PRINCIPIO_ATIVO", "- Varfarina: aumento do risco de sangramento.", "aumento do risco de sangramento.")
+    assert {tuple(x) for x in identify.run_status(source, rel).select("nome_normalizado", "status").collect()} == {("produto teste", "CONCLUIDO_COM_RELACOES"), ("marevan", "FALHA"), ("digoxina", "CONCLUIDO_SEM_RELACOES")}
+
+
+def test_structured_blocks(spark, entries):
+    block = "Medicamentos: digoxina,\n\namiodarona.\nEfeito da interação: aumenta o risco."
+    denied = "Medicamentos: varfarina.\nEfeitos da interação: não foram observadas alterações."
+    text = f"Título\n\n{block}\n{denied}\n7. ADVERTÊNCIAS GERAIS\nfim"
+    assert passages.blocks_of(text) == [(text.index(block), text.index(block) + len(block)), (text.index(denied), text.index(denied) + len(denied))]
+    source = spark.createDataFrame([("produto teste", text)], "nome_normalizado string, trecho_interacoes string")
+    rel = {r.termo: r.evidencia for r in identify.relations(identify.identify(source, entries)).collect()}
+    assert rel == {"digoxina": block, "amiodarona": block}
+    assert passages.completed(text, "digoxina,") == block and passages.completed(text, "Título") == "Título"
+    df = spark.createDataFrame([(block,), ("nada",), (None,)], "t string")
+    assert [r.e for r in df.select(passages.block_effect(F.col("t")).alias("e")).collect()] == ["aumenta o risco.", "", ""]
+
+
+def test_literal_summary(spark):
+    long = "palavra " * 60
+    df = spark.createDataFrame([("- X: efeito muito grave.", "X"), ("Ver X: sim", "X"), ("Risco: com X aumenta.", "X"), (long + "X", "X")], "e string, a string")
+    got = [r.s for r in df.select(passages.literal_summary(F.col("e"), F.col("a")).alias("s")).collect()]
+    assert got[:3] == ["efeito muito grave.", "Ver X: sim", "Risco: com X aumenta."] and len(got[3]) <= 300 and got[3].endswith("palavra…")
 
 
 def test_at_most_three_evidences(spark, entries):
@@ -48,6 +93,8 @@ def test_at_most_three_evidences(spark, entries):
     rel = identify.relations(identify.identify(source, entries)).collect()
     assert len(rel) == 3 and [r.ordem for r in sorted(rel, key=lambda r: r.trecho)] == [1, 2, 3]
     assert all(r.evidencia in text for r in rel)
+    (left,) = identify.omitted(identify.identify(source, entries)).collect()
+    assert left.omitidas == 2
 
 
 def test_long_passages_are_cut_around_the_target(spark, entries):
@@ -57,11 +104,11 @@ def test_long_passages_are_cut_around_the_target(spark, entries):
     source = spark.createDataFrame([("marevan", early), ("produto teste", late)], "nome_normalizado string, trecho_interacoes string")
     got = {}
     for r in identify.relations(identify.identify(source, entries)).collect():
-        got.setdefault((r.nome_normalizado, r.alvo), []).append(r.evidencia)
-    assert got.keys() == {("marevan", "digoxina"), ("produto teste", "digoxina"), ("produto teste", "acido acetilsalicilico")}
+        got.setdefault((r.nome_normalizado, r.alvo.lower()), []).append(r.evidencia)
+    assert got.keys() == {("marevan", "digoxina"), ("produto teste", "digoxina"), ("produto teste", "ácido acetilsalicílico")}
     (first,) = got["marevan", "digoxina"]
     assert early.startswith(first) and first.startswith("A digoxina") and 190 < len(first) <= 210
-    (aas,) = got["produto teste", "acido acetilsalicilico"]
+    (aas,) = got["produto teste", "ácido acetilsalicílico"]
     assert "ácido acetil-\nsalicílico" in aas and aas in late and len(aas) <= 400
     two = sorted(got["produto teste", "digoxina"])
     assert len(two) == 2 and all(e in late and "digoxina" in e.lower() and len(e) <= 400 for e in two)
