@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from marisma.functions.rules import is_not_positive
 from marisma.functions.text import display_name, fold_name, fold_target, list_of, not_blank, plain_words, quotation_key
 from marisma.plans.runs import current_runs, eligible, registered_runs
-from marisma.session import table
+from marisma.session import cut_lineage, table
 
 # Target types whose unlinked mentions count in a pair.
 MENTION_TYPES = ("CLASSE_FARMACOLOGICA", "PRINCIPIO_ATIVO", "MEDICAMENTO")
@@ -114,10 +114,12 @@ def single_page(c: Corpus, origins: list[str] | None, page: int, size: int) -> D
     rows = positive_relations(c)
     if origins is not None:
         rows = rows.where(F.col(ORIGIN).isin(*origins))
-    # Narrow rows are numbered; the wide columns of the page are joined to the ids that are kept.
-    w = Window.partitionBy(ORIGIN)
-    narrow = rows.select("id", ORIGIN).withColumn("posicao", F.row_number().over(w.orderBy("id"))).withColumn("total", F.count("*").over(w))
-    kept = narrow.where((F.col("posicao") > (page - 1) * size) & (F.col("posicao") <= page * size))
+    # Narrow rows are counted, and numbered no further than the page: the group limit cuts before the
+    # shuffle.  The wide columns of the page are joined to the ids that are kept.
+    narrow = cut_lineage(rows.select("id", ORIGIN))
+    total = narrow.groupBy(ORIGIN).agg(F.count("*").alias("total"))
+    numbered = narrow.withColumn("posicao", F.row_number().over(Window.partitionBy(ORIGIN).orderBy("id"))).where(F.col("posicao") <= page * size)
+    kept = numbered.where(F.col("posicao") > (page - 1) * size).join(total, ORIGIN)
     wide = c.relations.select("id", "alvo", "tipo_alvo", "resumo")
     return kept.join(wide, "id").select("id", ORIGIN, "alvo", "tipo_alvo", "resumo", "posicao", "total", F.ceil(F.col("total") / size).cast("long").alias("paginas"))
 
@@ -155,24 +157,36 @@ def pair_rows(c: Corpus, pairs: DataFrame) -> DataFrame:
     """Every relation that tells something of a pair (a, b), with its kind and evidence group.
 
     ``pairs`` has a, b, a < b.  Both directions are one plan: a pair is two (origin, other) rows.
-    Linked relations meet their pair by origin and linked name, an equi-join; the unlinked kinds
-    (class alerts, mentions) meet by origin alone.
+    Linked relations meet their pair by origin and linked name, unlinked mentions by origin and a word
+    of the other's names; only class alerts, which hold for every pair of their origin, meet by the
+    origin alone.  All of that is over narrow rows; texts are joined to the ids that are left.
     """
     ordered = pairs.where("a <> b").distinct()
     way = ordered.select("a", "b", F.col("a").alias(ORIGIN), F.col("b").alias("outro"), F.lit("BULA_A_CITA_B").alias("sentido")).unionByName(
         ordered.select("a", "b", F.col("b").alias(ORIGIN), F.col("a").alias("outro"), F.lit("BULA_B_CITA_A").alias("sentido"))
     )
-    relations = positive_relations(c).select("id", ORIGIN, "processamento_id", "alvo", "tipo_alvo", "resumo", "evidencia")
-    active = c.links.where(F.col("invalidado_em").isNull()).select(F.col("interacao_id").alias("id"), F.col("medicamento_relacionado").alias("outro"), F.coalesce("criterio_vinculo", F.lit("")).alias("criterio"), F.col("criterio_vinculo").isNotNull().alias("_c"))
-    rows = way.join(relations, ORIGIN).join(active, ["id", "outro"], "left")
-    linked = F.coalesce("_c", F.lit(False))
-    rows = rows.where(F.col("_c").isNotNull() | F.col("tipo_alvo").isin(*MENTION_TYPES))
-    rows = rows.join(_word_sets(c).withColumnRenamed("nome_normalizado", "outro"), "outro", "left")
+    way = cut_lineage(way)
     target = F.array_distinct(F.filter(plain_words(fold_name(F.col("alvo"))), lambda w: F.length(w) >= 3))
-    named = (F.size(target) > 0) & F.exists("conjuntos", lambda s: F.size(F.array_except(target, s)) == 0)
-    kind = F.when(linked, "ESPECIFICA").when(F.col("tipo_alvo") == "CLASSE_FARMACOLOGICA", "ALERTA").when(F.coalesce(named, F.lit(False)), "MENCAO")
-    rows = rows.withColumn("especie", kind).where(F.col("especie").isNotNull())
-    return rows.select("a", "b", "sentido", ORIGIN, "especie", "id", "processamento_id", "alvo", "tipo_alvo", "resumo", "evidencia", F.when(linked, F.col("criterio")).alias("criterio_vinculo"), quotation_key(F.col("evidencia")).alias("_q"))
+    narrow = cut_lineage(positive_relations(c).select("id", ORIGIN, "tipo_alvo", target.alias("_alvo")))
+    active = c.links.where(F.col("invalidado_em").isNull()).select(F.col("interacao_id").alias("id"), F.col("medicamento_relacionado").alias("outro"), F.col("criterio_vinculo").alias("criterio"))
+    linked = cut_lineage(narrow.join(active, "id").join(way, [ORIGIN, "outro"]))
+    specific = linked.where(F.col("criterio").isNotNull()).withColumn("especie", F.lit("ESPECIFICA"))
+    alert = narrow.where("tipo_alvo = 'CLASSE_FARMACOLOGICA'").join(way, ORIGIN).join(linked.select("id", "outro"), ["id", "outro"], "left_anti")
+    sets = _word_sets(c).withColumnRenamed("nome_normalizado", "outro")
+    words = way.join(sets, "outro").select(*way.columns, "conjuntos", F.explode(F.array_distinct(F.flatten("conjuntos"))).alias("_p"))
+    unlinked = narrow.where(F.col("tipo_alvo").isin(*[t for t in MENTION_TYPES if t != "CLASSE_FARMACOLOGICA"]) & (F.size("_alvo") > 0))
+    named = F.exists("conjuntos", lambda s: F.size(F.array_except("_alvo", s)) == 0)
+    mention = unlinked.withColumn("_p", F.get("_alvo", F.lit(0))).join(words, [ORIGIN, "_p"]).where(named).join(linked.select("id", "outro"), ["id", "outro"], "left_anti")
+    # A link without criterion is none, but its relation counts whatever its type.
+    loose = linked.where(F.col("criterio").isNull()).join(sets, "outro", "left")
+    kind = F.when(F.col("tipo_alvo") == "CLASSE_FARMACOLOGICA", "ALERTA").when((F.size("_alvo") > 0) & F.coalesce(named, F.lit(False)), "MENCAO")
+    loose = loose.withColumn("especie", kind).where(F.col("especie").isNotNull())
+    kept = ["a", "b", "sentido", ORIGIN, "especie", "id"]
+    none = F.lit(None).cast("string").alias("criterio_vinculo")
+    rows = specific.select(*kept, F.col("criterio").alias("criterio_vinculo")).unionByName(alert.withColumn("especie", F.lit("ALERTA")).select(*kept, none))
+    rows = rows.unionByName(mention.withColumn("especie", F.lit("MENCAO")).select(*kept, none)).unionByName(loose.select(*kept, none))
+    text = c.relations.select("id", "processamento_id", "alvo", "tipo_alvo", "resumo", "evidencia", quotation_key(F.col("evidencia")).alias("_q"))
+    return rows.join(text, "id")
 
 
 def pair_evidence(c: Corpus, pairs: DataFrame) -> DataFrame:

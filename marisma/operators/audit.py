@@ -65,3 +65,9 @@ def table_fingerprint(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
 def eligible_share(source: DataFrame) -> DataFrame:
     """One row: sources with a text by status, for the coverage alarm."""
     return source.groupBy("status_extracao").agg(F.count("*").alias("fontes"), F.count_if(not_blank(F.col("trecho_interacoes"))).alias("com_texto"))
+
+
+def quality_alarm(rows: DataFrame, weak: Column, done: Column, most: float = 0.2) -> DataFrame:
+    """One row: weak results against the concluded ones, and whether their share is beyond ``most``."""
+    share = F.try_divide(F.count_if(weak), F.count_if(done))
+    return rows.agg(F.count("*").alias("total"), F.count_if(weak).alias("fracos"), F.round(share, 6).alias("parte"), F.coalesce(share > most, F.lit(False)).alias("alarme"))

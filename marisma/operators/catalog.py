@@ -98,21 +98,22 @@ def substances(catalog: DataFrame) -> DataFrame:
     return catalog.select("nome_normalizado", own.alias("substancias"))
 
 
-def terms(catalog: DataFrame) -> DataFrame:
+def terms(catalog: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(termo, tipo): searchable names of three letters or more; an ingredient wins over a name.
-    Declared equivalences come from free text and only link, they are not searched."""
-    rows = catalog_keys(catalog).where((F.length("chave") >= 3) & ~F.col("chave").rlike("^[0-9 ]+$") & (F.col("criterio") != "COMPOSICAO_EQUIVALENCIA_DECLARADA"))
+    Declared equivalences come from free text and only link, they are not searched.  ``keys`` are the
+    catalogue's keys, if they are made already."""
+    rows = (catalog_keys(catalog) if keys is None else keys).where((F.length("chave") >= 3) & ~F.col("chave").rlike("^[0-9 ]+$") & (F.col("criterio") != "COMPOSICAO_EQUIVALENCIA_DECLARADA"))
     return rows.groupBy(F.col("chave").alias("termo")).agg(F.when(F.max("prioridade") > 0, "PRINCIPIO_ATIVO").otherwise("MEDICAMENTO").alias("tipo"))
 
 
-def term_entries(catalog: DataFrame) -> DataFrame:
+def term_entries(catalog: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(termo, tipo, nome_normalizado): the entries a searchable term links, by its type: names by
     their name, ingredients by their keys, equivalences and salt-free form."""
-    keys = catalog_keys(catalog)
+    keys = catalog_keys(catalog) if keys is None else keys
     by_name = keys.where("prioridade = 0").select(F.col("chave").alias("termo"), F.lit("MEDICAMENTO").alias("tipo"), "nome_normalizado")
     exact = keys.where("prioridade > 0 AND prioridade < 3").select(F.col("chave").alias("termo"), F.lit("PRINCIPIO_ATIVO").alias("tipo"), "nome_normalizado")
     bare = keys.where("prioridade = 3").select(F.col("chave").alias("_b"), "nome_normalizado")
-    searched = terms(catalog).where("tipo = 'PRINCIPIO_ATIVO'").withColumn("_b", without_salt(F.col("termo")))
+    searched = terms(catalog, keys).where("tipo = 'PRINCIPIO_ATIVO'").withColumn("_b", without_salt(F.col("termo")))
     by_bare = searched.join(bare, "_b").select("termo", "tipo", "nome_normalizado")
     return by_name.unionByName(exact).unionByName(by_bare).distinct()
 

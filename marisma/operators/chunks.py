@@ -50,12 +50,20 @@ def vector_state(vector: Column, dimension: int) -> Column:
 
 
 def mean_vector(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
-    """Element-wise mean of the vectors of each key, by position, with partial sums."""
+    """(keys, media): element-wise mean of the vectors of each key, by position, with partial sums; null
+    elements do not count."""
     rows = df.select(*keys, F.posexplode(vector).alias("_i", "_x"))
     means = rows.groupBy(*keys, "_i").agg(F.avg(F.col("_x").cast("double")).alias("_m"))
     return means.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_m"))), lambda s: s["_m"]).alias("media"))
 
 
+def unit_mean(df: DataFrame, keys: list[str], vector: str) -> DataFrame:
+    """:func:`mean_vector` of length one; a mean of length zero stays as it is."""
+    rows = mean_vector(df, keys, vector)
+    length = norm(F.col("media"))
+    return rows.withColumn("media", F.when(length > 0, F.transform("media", lambda x: x / length)).otherwise(F.col("media")))
+
+
 def chunk_coverage(chunks: DataFrame, texts: DataFrame) -> DataFrame:
     """(nome_normalizado, blocos, continuo): whether the chunk numbers of a text run from 0 without gap."""
     counted = chunks.groupBy("nome_normalizado").agg(F.count_distinct("chunk_index").alias("blocos"), F.max("chunk_index").alias("_m"))

@@ -30,7 +30,7 @@ from marisma.functions.vocabulary import (
     EXTRA_ABSENCE,
     IGNORED_TERMS,
 )
-from marisma.operators.catalog import ingredient_keys, key_words, substances, term_entries, terms
+from marisma.operators.catalog import catalog_keys, ingredient_keys, key_words, substances, term_entries, terms
 from marisma.operators.passages import block_effect, compact, cut_evidence, literal_summary, needs_cut, passages
 from marisma.session import cut_lineage, is_small, spread
 
@@ -105,14 +105,14 @@ def _is_enantiomer(term: Column, own: Column) -> Column:
     return F.exists(own, lambda s: other(s, term) | other(term, s))
 
 
-def judged_links(found: DataFrame, key: str, catalog: DataFrame) -> DataFrame:
+def judged_links(found: DataFrame, key: str, catalog: DataFrame, keys: DataFrame | None = None) -> DataFrame:
     """(key, termo, tipo, _outros, _mesma) of each mention: whether entries other than the origin have
     the term, and whether all of them are other names of the origin's own substances.
 
     The entries of a term are aggregated to their different substance sets first, so a term of many
     entries is one row when it meets the origins.
     """
-    entries = term_entries(catalog)
+    entries = term_entries(catalog, keys)
     own = substances(catalog).withColumn("substancias", F.coalesce("substancias", F.array().cast("array<string>")))
     sets = entries.join(own, "nome_normalizado").groupBy("termo", "tipo").agg(F.count("*").alias("_n"), F.collect_set("substancias").alias("_s"))
     asked = found.select(key, "termo", "tipo").distinct()
@@ -132,7 +132,8 @@ def identify(source: DataFrame, catalog: DataFrame, ignored: list[str] | None =
     key = "nome_normalizado"
     parts = passages(spread(source.select(key, "trecho_interacoes"), key), key, "trecho_interacoes")
     # Matches are narrow and read several times; they are written once.
-    found = cut_lineage(dictionary_matches(parts, key, terms(catalog)))
+    keys = cut_lineage(catalog_keys(catalog))
+    found = cut_lineage(dictionary_matches(parts, key, cut_lineage(terms(catalog, keys))))
     names = F.concat(F.array(*[fold_target(F.coalesce(c, F.lit(""))) for c in (key, "nome_anvisa")]), ingredient_keys(F.col("principios_ativos")))
     origin = catalog.select(key, F.transform(F.filter(names, lambda n: n != ""), plain_words).alias("_nomes"))
     # Rules read the passage once; it is joined by its number, narrow rows to wide ones.
@@ -144,7 +145,7 @@ def identify(source: DataFrame, catalog: DataFrame, ignored: list[str] | None =
         _pieces(F.regexp_replace(joined, rf"([{_LETTER}][{_LETTER}\p{{M}}]*)", _MARK + "$1")).alias("_o"),
         (F.length(F.regexp_replace(letters, r"\P{Lu}", "")) > 0.6 * F.length(letters)).alias("_alta"), fold_name(block_effect(F.col("texto"))).alias("_efeito"),
     )
-    rows = found.join(text, [key, "trecho"]).join(origin, key, "left").join(judged_links(found, key, catalog), [key, "termo", "tipo"], "left")
+    rows = found.join(text, [key, "trecho"]).join(origin, key, "left").join(judged_links(found, key, catalog, keys), [key, "termo", "tipo"], "left")
 
     i, n, termo = F.col("inicio"), F.col("palavras"), F.col("termo")
     written = F.regexp_replace(_joined(F.col("_o"), i + 2, n), rf"[^{_LETTER}\p{{M}}]+$", "")
@@ -156,7 +157,7 @@ def identify(source: DataFrame, catalog: DataFrame, ignored: list[str] | None =
     left = F.regexp_replace("_antes", rf"(?s)^.*(?:{CLAUSE_END})", "")
     right = F.coalesce(F.nullif(F.regexp_extract("_resto", rf"(?s)^(.*?(?:{CLAUSE_END}))", 1), F.lit("")), F.col("_resto"))
     clause = F.concat(F.right(left, F.lit(NEGATION_WINDOW)), F.left(right, F.col("_tam") + NEGATION_WINDOW))
-    denies = lambda x: x.rlike(ABSENCE) | x.rlike(EXTRA_ABSENCE)
+    denies = lambda x: x.rlike(f"{ABSENCE}|{EXTRA_ABSENCE}")
     words = F.transform(F.slice("_p", 2, F.size("_p")), lambda p: F.regexp_extract(p, "^[a-z0-9]+", 0))
     near = F.exists(F.slice(words, F.greatest(i - CONTEXT_WORDS, F.lit(0)) + 1, F.least(i, F.lit(CONTEXT_WORDS))), lambda w: w.isin(*CONTEXT_BEFORE))
     parameter = termo.isin(*CONTEXTUAL) & (near | F.coalesce(F.get(words, i + n).isin(*CONTEXT_AFTER), F.lit(False)))

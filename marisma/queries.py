@@ -669,7 +669,7 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register theirs in the same tables.
-from marisma import queries_identify  # noqa: E402, F401
+from marisma import queries_identify, queries_history  # noqa: E402, F401, I001
 
 
 def queries() -> dict[str, Query]:
