@@ -68,7 +68,7 @@ def display_name(name: Column, key: Column) -> Column:
 
 def list_of(text: Column) -> Column:
     """Entries of a ;-separated list, trimmed, without empty ones; null gives an empty list."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def slug(name: Column) -> Column:
