@@ -27,8 +27,8 @@ def test_title_forms_and_exclusions(spark):
 
 
 def test_states(spark):
-    got = {r.doc: r.estado for r in sections.sections(doc(spark, "Interações medicamentosas\nNão se aplica.", "Interações medicamentosas\nx", "Interações medicamentosas\nPosologia e superdose do medicamento\nArmazenamento da bula")).collect()}
-    assert got == {"0": "RESPOSTA_CURTA", "1": "SOMENTE_TITULO", "2": "SOMENTE_ROTULOS"}
+    got = {r.doc: r.estado for r in sections.sections(doc(spark, "Interações medicamentosas\nNão se aplica.", "Interações medicamentosas\nx", "Interações medicamentosas\nPosologia e superdose cx 10 mg\nArmazenamento da bula", "Interações medicamentosas\nPosologia\nArmazenamento\n10 02", "Interações medicamentosas\nPosologia e superdose do medicamento\nArmazenamento da bula")).collect()}
+    assert got == {"0": "RESPOSTA_CURTA", "1": "SOMENTE_TITULO", "2": "SOMENTE_ROTULOS", "3": "SOMENTE_TITULO", "4": "OK"}
 
 
 def test_equal_sections_once(spark):
@@ -38,7 +38,7 @@ def test_equal_sections_once(spark):
 
 
 def test_administrative_pages(spark):
-    page = "Texto de bula\nNotificação RDC 60\n10/02/2020\n11/03/2021"
+    page = "Texto de bula\nNotificação RDC 60\nAssunto\n10/02/2020\n11/03/2021"
     assert [r.pagina for r in sections.administrative_pages(doc(spark, page, "Notificação do paciente")).collect()] == [0]
 
 
@@ -75,3 +75,32 @@ def test_checks_and_controls(spark):
     assert json.loads(row.m) == {"a": {"c": 3, "d": 2}, "b": 2}
     same = spark.createDataFrame([('{"x": 1, "y": [2]}',), ('{"y":[2],"x":1}',), ("quebrado",), (None,)], "a string").select(summaries.canonical_hash("a").alias("h")).collect()
     assert same[0].h == same[1].h and same[2].h is None and same[3].h is None
+
+
+def test_references_chapters_and_carried_pages(spark):
+    lines = doc(
+        spark, f"5. INTERAÇÕES MEDICAMENTOSAS\n{BODY} (vide item 5.\nADVERTÊNCIAS E PRECAUÇÕES).\nMais texto sobre o uso.\n6. POSOLOGIA\nx",
+        f"3. CARACTERÍSTICAS FARMACOLÓGICAS\nInterações medicamentosas\n{BODY}\n5. INTERAÇÕES MEDICAMENTOSAS\n{BODY}\n6. POSOLOGIA",
+    )
+    got = {(r.doc, r.inicio, r.fim) for r in sections.sections(lines).collect()}
+    assert got == {("0", 0, 5), ("1", 4, 7)}
+    pages = spark.createDataFrame([("a", 0, 0, "x", "texto de bula notificacao rdc assunto 10/02/2020 11/03/2021"), ("a", 1, 1, "x", "vp vps 12"), ("a", 2, 2, "x", "texto comum"), ("a", 3, 3, "x", "vp vps 12")], "doc string, pagina int, n int, texto string, normal string")
+    assert {r.pagina for r in sections.administrative_pages(pages).collect()} == {0, 1}
+
+
+def test_status_of_documents(spark):
+    lines = doc(spark, f"5. INTERAÇÕES MEDICAMENTOSAS\n{BODY}\n6. ADVERTÊNCIAS", "Um texto comum sem o título da seção procurada aqui.", "Interações medicamentosas\nPosologia\nArmazenamento\n" + "1 " * 30, "curto", "Um texto comum sem o título da seção procurada aqui.")
+    docs = spark.createDataFrame([(str(i), "ERRO_OCR" if i == 5 else None, 1 if i == 4 else 0) for i in range(6)], "doc string, falha string, paginas_ocr int")
+    got = {r.doc: r.status for r in sections.extraction_status(docs, lines).collect()}
+    assert got == {"0": "CONCLUIDO", "1": "SEM_SECAO_INTERACOES", "2": "SECAO_SOMENTE_TITULO", "3": "PDF_SEM_TEXTO", "4": "REVISAO_MANUAL", "5": "ERRO_OCR"}
+    none = spark.createDataFrame([], "doc string, inicio int")
+    assert {r.status for r in sections.extraction_status(docs.where("doc = '0'"), lines, none).collect()} == {"REVISAO_MANUAL"}
+
+
+def test_candidates_and_compositions(spark):
+    found = spark.createDataFrame([("a", 3, "BAIXA"), ("a", 3, "ALTA"), ("a", 9, "MEDIA"), ("b", 1, "BAIXA")], "doc string, linha int, confianca string")
+    assert {tuple(r) for r in sections.chosen_candidate(found).collect()} == {("a", 3, "ALTA", True), ("b", 1, "BAIXA", False)}
+    choice = spark.createDataFrame([("a", 9)], "doc string, linha int")
+    assert ("a", 9, "MEDIA", True) in {tuple(r) for r in sections.chosen_candidate(found, choice).collect()}
+    lines = doc(spark, "COMPOSIÇÃO\nCada mL contém:\ncloridrato de lidocaína ... 50 mg\nglicose ... 75 mg\n1. INDICAÇÕES\nx", "COMPOSIÇÃO\nsem fim")
+    assert [(r.doc, r.inicio, r.fim) for r in sections.composition_sections(lines).collect()] == [("0", 0, 4)]
