@@ -54,3 +54,32 @@ def unnamed_actives(classified: DataFrame, key: str, names: DataFrame, name: str
     folded = lambda c: without_salt(key_words(fold_target(F.regexp_replace(F.col(c), rf"(?i){NOTE}", ""))))
     known = names.where(F.col(name).isNotNull()).select(key, folded(name).alias("_k")).distinct()
     return classified.where("papel = 'ATIVO'").withColumn("_k", folded("nome")).join(known, [key, "_k"], "left_anti").drop("_k")
+
+
+def resolved_name(name: Column, candidates: Column) -> Column:
+    """A name as a candidate spells it: equal without accents and case, or the only candidate that has it
+    as whole words; a dose behind it is left out for that.  Else the name itself, nothing is invented."""
+    bare = lambda x: without_accents(F.trim(F.regexp_replace(x, r"\s+", " ")))
+    plain = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.replace(name, F.lit("_"), F.lit(" ")), rf"(?i){NOTE}", ""), rf"(?i){DOSE}.*$", ""), r"^[\s*:;.]+|[\s*:;.(]+$", "")
+    key = bare(plain)
+    equal = F.filter(candidates, lambda c: bare(c) == key)
+    whole = F.filter(candidates, lambda c: F.concat(F.lit(" "), bare(c), F.lit(" ")).contains(F.concat(F.lit(" "), key, F.lit(" "))))
+    return F.when(F.size(equal) > 0, F.get(equal, F.lit(0))).when((F.size(whole) == 1) & (F.length(key) >= 3), F.get(whole, F.lit(0))).otherwise(plain)
+
+
+def names_missing(values: DataFrame, key: str, text: str, candidates: DataFrame, name: str) -> DataFrame:
+    """(key, faltam): whether a composition has lines of letters that are no label, dose, excipient and
+    name no candidate, so that names beyond the candidates may be looked for."""
+    known = candidates.groupBy(key).agg(F.collect_set(without_accents(F.col(name))).alias("_c"))
+    rows = values.where(F.col(text).isNotNull()).join(known, key, "left").withColumn("_t", without_accents(F.col(text)))
+    skipped = F.col("_t").rlike(r"^cada\b.*\bcontem\s*:?\s*$|^(?:componente|principios? ativos?|\W*equivalente)\b|\b(?:q\.?\s*s\.?\s*p\.?|excipiente|conservante|veiculo)\b") | ~F.col("_t").rlike("[a-z]{3}")
+    named = F.coalesce(F.exists("_c", lambda c: F.col("_t").contains(c)), F.lit(False))
+    return rows.groupBy(key).agg(F.bool_or(~skipped & ~named).alias("faltam"))
+
+
+def identified_actives(identity: DataFrame, classified: DataFrame, key: str, name: str) -> DataFrame:
+    """(key, nome) of the generic names before a composition that stand in one of its dosed lines."""
+    asked = identity.where(F.col(name).isNotNull() & F.length(name).between(3, 120) & ~F.col(name).rlike(rf"(?i){DOSE}|[®™]")).select(key, F.col(name).alias("_n"))
+    dosed = classified.where("papel = 'ATIVO'").select(key, F.concat(F.lit(" "), key_words(fold_target(F.col("nome"))), F.lit(" ")).alias("_l"))
+    met = asked.join(dosed, key).where(F.col("_l").contains(F.concat(F.lit(" "), key_words(fold_target(F.col("_n"))), F.lit(" "))))
+    return met.select(key, F.col("_n").alias("nome")).distinct()

@@ -536,14 +536,6 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
     return sections.line_table(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
 
 
-@query()
-def section_titles(spark: SparkSession, d: str) -> DataFrame:
-    return sections.title_lines(_lines(spark, d))
-
-
-@query()
-def section_extraction(spark: SparkSession, d: str) -> DataFrame:
-    return sections.sections(_lines(spark, d))
 
 
 @query(r"""WITH l AS (SELECT nome_normalizado AS doc, list_filter(string_split_regex(trecho_interacoes, '\r?\n'), lambda x: trim(x, ' ') <> '') AS v FROM bulas_interacoes WHERE trecho_interacoes IS NOT NULL)
@@ -669,7 +661,7 @@ def token_windows(spark: SparkSession, d: str) -> DataFrame:
 
 
 # The other modules register theirs in the same tables.
-from marisma import queries_identify, queries_history  # noqa: E402, F401, I001
+from marisma import queries_identify, queries_history, queries_texts  # noqa: E402, F401, I001
 
 
 def queries() -> dict[str, Query]:
