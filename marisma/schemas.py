@@ -2,32 +2,38 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_SECONDS, _MEGABYTES = T.DecimalType(12, 3), T.DecimalType(10, 1)
-
-
-def _struct(spec: str) -> T.StructType:
-    kinds = {"s": T.StringType(), "l": T.LongType(), "i": T.IntegerType(), "t": T.TimestampNTZType(), "d": T.DoubleType(), "n": _SECONDS, "m": _MEGABYTES, "v": T.ArrayType(T.FloatType())}
-    return T.StructType([T.StructField(name, kinds[kind]) for name, kind in (x.split(":") for x in spec.split())])
-
-
-TABLES = {
-    "bulas": _struct("nome_normalizado:s nome_anvisa:s numero_registro:s expediente:s principios_ativos:s composicao:s status:s tentativas:i tempo_total_segundos:n"),
-    "bulas_interacoes": _struct("nome_normalizado:s trecho_interacoes:s status_extracao:s detalhe_revisao:s tempo_leitura_segundos:n tempo_inferencia_segundos:n tempo_total_segundos:n"),
-    "processamentos_interacoes": _struct(
-        "id:l medicamento_origem:s status:s versao_processamento:s modelo:s quantidade_janelas:i janelas_concluidas:i quantidade_relacoes:i quantidade_rejeicoes:i chamadas_llm:i "
-        "tempo_inferencia_segundos:n tempo_total_segundos:n pico_memoria_mb:m concluido_em:t invalidado_em:t resumo_geral:s resumo_geral_simples:s resumo_status:s resumo_modelo:s resumo_erro:s "
-        "resumo_gerado_em:t reescrita_controle:s resumo_tempo_inferencia_segundos:d resumo_tempo_total_segundos:d"
-    ),
-    "interacoes": _struct(
-        "id:l medicamento_origem:s processamento_id:l alvo:s tipo_alvo:s resumo:s evidencia:s resumo_card:s resumo_card_simples:s resumo_status:s resumo_modelo:s resumo_origem:s "
-        "resumo_tempo_segundos:d resumo_erro:s resumo_atualizado_em:t reescrita_controle:s"
-    ),
-    "interacoes_medicamentos": _struct("interacao_id:l medicamento_relacionado:s criterio_vinculo:s invalidado_em:t"),
+#: The declared columns, as DDL.
+COLUMNS = {
+    "bulas": """
+        nome_normalizado STRING, nome_anvisa STRING, numero_registro STRING, expediente STRING, principios_ativos STRING, composicao STRING, status STRING,
+        tentativas INT, tempo_total_segundos DECIMAL(12,3)""",
+    "bulas_interacoes": """
+        nome_normalizado STRING, trecho_interacoes STRING, status_extracao STRING, detalhe_revisao STRING,
+        tempo_leitura_segundos DECIMAL(12,3), tempo_inferencia_segundos DECIMAL(12,3), tempo_total_segundos DECIMAL(12,3)""",
+    "processamentos_interacoes": """
+        id BIGINT, medicamento_origem STRING, status STRING, versao_processamento STRING, modelo STRING,
+        quantidade_janelas INT, janelas_concluidas INT, quantidade_relacoes INT, quantidade_rejeicoes INT, chamadas_llm INT,
+        tempo_inferencia_segundos DECIMAL(12,3), tempo_total_segundos DECIMAL(12,3), pico_memoria_mb DECIMAL(10,1), concluido_em TIMESTAMP_NTZ, invalidado_em TIMESTAMP_NTZ,
+        resumo_geral STRING, resumo_geral_simples STRING, resumo_status STRING, resumo_modelo STRING, resumo_erro STRING, resumo_gerado_em TIMESTAMP_NTZ,
+        reescrita_controle STRING, resumo_tempo_inferencia_segundos DOUBLE, resumo_tempo_total_segundos DOUBLE""",
+    "interacoes": """
+        id BIGINT, medicamento_origem STRING, processamento_id BIGINT, alvo STRING, tipo_alvo STRING, resumo STRING, evidencia STRING,
+        resumo_card STRING, resumo_card_simples STRING, resumo_status STRING, resumo_modelo STRING, resumo_origem STRING,
+        resumo_tempo_segundos DOUBLE, resumo_erro STRING, resumo_atualizado_em TIMESTAMP_NTZ, reescrita_controle STRING""",
+    "interacoes_medicamentos": "interacao_id BIGINT, medicamento_relacionado STRING, criterio_vinculo STRING, invalidado_em TIMESTAMP_NTZ",
 }
+_TYPES = {
+    "STRING": T.StringType(), "INT": T.IntegerType(), "BIGINT": T.LongType(), "DOUBLE": T.DoubleType(), "TIMESTAMP_NTZ": T.TimestampNTZType(),
+    "DECIMAL(12,3)": T.DecimalType(12, 3), "DECIMAL(10,1)": T.DecimalType(10, 1),
+}
+# Built without a session, which Spark's own DDL parser would need.
+TABLES = {name: T.StructType([T.StructField(c, _TYPES[t]) for c, t in re.findall(r"(\w+) ([A-Z_]+(?:\(\d+,\d+\))?)", ddl)]) for name, ddl in COLUMNS.items()}
 
 # The enumerations.
 RUN_STATUS = ("CONCLUIDO_COM_RELACOES", "CONCLUIDO_SEM_RELACOES", "REVISAO_NECESSARIA", "FALHA")

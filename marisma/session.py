@@ -44,7 +44,10 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     leaves cores idle.  A frame that has enough partitions already is returned as it is.
     """
     wanted = df.sparkSession.sparkContext.defaultParallelism
-    if df._jdf.queryExecution().toRdd().getNumPartitions() >= wanted:
+    # The number of files and their size say how many tasks a scan has; nothing is executed for it.
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    most = int(df.sparkSession._jsparkSession.sessionState().conf().filesMaxPartitionBytes())
+    if max(len(df.inputFiles()), size // most) >= wanted:
         return df
     return df.repartition(wanted, *keys)
 

@@ -37,3 +37,13 @@ def test_incremental_batches(spark, tmp_path):
     again = incremental.process_pending(incremental.source_stream(spark, str(tmp_path / "in"), "interacoes_medicamentos", 1), lambda b: b.select("interacao_id"), str(tmp_path / "out"), str(tmp_path / "ck"))
     again.awaitTermination(120)
     assert sorted(r.interacao_id for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [0, 1, 2]
+
+
+def test_a_source_delivered_again_is_processed_once(spark, tmp_path):
+    schema = TABLES["bulas_interacoes"]
+    for text in ("um", "um", "dois"):
+        spark.createDataFrame([tuple({"nome_normalizado": "x", "trecho_interacoes": text}.get(c) for c in schema.names)], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = incremental.source_stream(spark, str(tmp_path / "in"), "bulas_interacoes", 1)
+    query = incremental.process_pending(stream, lambda b: b.select("trecho_interacoes"), str(tmp_path / "out"), str(tmp_path / "ck"), version="v1")
+    query.awaitTermination(120)
+    assert sorted(r.trecho_interacoes for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["dois", "um"]
