@@ -48,6 +48,8 @@ def words(text: Column) -> Column:
 def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
     """(key, pos, h): the hash of the n words from each position."""
     tokens = df.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("w")).where(F.size("w") >= n)
+    # Every word is hashed once; an n-gram's hash is that of its words' hashes.
+    tokens = tokens.select(key, F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
     places = F.sequence(F.lit(0), F.size("w") - n)
     hashes = F.transform(places, lambda i: F.xxhash64(F.slice("w", i + 1, n)))
     return tokens.select(key, F.posexplode(hashes).alias("pos", "h"))

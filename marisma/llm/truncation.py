@@ -164,8 +164,8 @@ def cut_texts(texts: DataFrame) -> DataFrame:
     spark = texts.sparkSession
     # Several passes read the different texts; they are made once.
     different = cut_lineage(spread(spark.sql(_DIFFERENT, texts=texts), "chave"))
-    sentences = spark.sql(_SENTENCES, texts=different)
-    # Counting, ends and followers read the classes; texts are cut into tokens for them once.
+    # Texts are cut into tokens once; counting, ends and followers read the classes.
+    sentences = cut_lineage(spark.sql(_SENTENCES, texts=different))
     classed = cut_lineage(_classed(sentences, _frequent_words(sentences, different)))
     grams = spark.sql(_GRAMS, classed=classed)
     # n-grams of classes are few however many texts there are; they are written once.
