@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,14 +46,51 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(plain, F.lit(r"[\pL\pN]+"), F.lit(0))
 
 
-def _grams(df: DataFrame, key: str, text: str, n: int) -> DataFrame:
-    """(key, pos, h): the hash of the n words from each position."""
-    tokens = df.where(F.col(text).isNotNull()).select(key, words(F.col(text)).alias("w")).where(F.size("w") >= n)
-    # Every word is hashed once; an n-gram's hash is that of its words' hashes.
-    tokens = tokens.select(key, F.transform("w", lambda x: F.xxhash64(x)).alias("w"))
-    places = F.sequence(F.lit(0), F.size("w") - n)
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice("w", i + 1, n)))
-    return tokens.select(key, F.posexplode(hashes).alias("pos", "h"))
+#: Multiplier of the rolling hash of an n-gram (odd, so that no word's hash is lost).
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def gram_hashes(words: np.ndarray, ends: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the n-grams of many texts, whose word hashes lie behind each other; ``ends`` is
+    where the text of each word ends.  n-grams over two texts are left out."""
+    if len(words) < n:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    values, size = words.view(np.uint64), len(words) - n + 1
+    hashes = np.zeros(size, dtype=np.uint64)
+    for j in range(n):
+        hashes = hashes * _BASE + values[j : j + size]
+    places = np.flatnonzero(np.arange(size) + n <= ends[:size])
+    return places, hashes[places].view(np.int64)
+
+
+def _grams(df: DataFrame, key: str, text: str, n: int, wanted: np.ndarray | None = None) -> DataFrame:
+    """(key, pos, h): the hash of the n words from each position; only those among the sorted ``wanted``.
+
+    Words are found and hashed in the JVM; n-grams are array arithmetic over whole batches, so that no
+    row is made for an n-gram that no item has."""
+    spark = df.sparkSession
+    tokens = df.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("k"), F.transform(words(F.col(text)), lambda x: F.xxhash64(x)).alias("w")).where(F.size("w") >= n)
+    shipped = None if wanted is None else spark.sparkContext.broadcast(wanted)
+    schema = pa.schema([("k", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("w")
+            lengths = np.diff(column.offsets.to_numpy())
+            starts = np.cumsum(lengths) - lengths
+            flat = np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False).astype(np.int64))
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            places, hashes = gram_hashes(flat, np.repeat(starts + lengths, lengths), n)
+            if shipped is not None and len(shipped.value):
+                at = np.minimum(np.searchsorted(shipped.value, hashes), len(shipped.value) - 1)
+                hit = shipped.value[at] == hashes
+                places, hashes = places[hit], hashes[hit]
+            elif shipped is not None:
+                places, hashes = places[:0], hashes[:0]
+            keys = batch.column("k").to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([pa.array(keys[row[places]], pa.int64()), pa.array((places - starts[row[places]]).astype(np.int32)), pa.array(hashes)], schema=schema)
+
+    return tokens.mapInArrow(grams, "k long, pos int, h long").withColumnRenamed("k", key)
 
 
 def seeds(items: DataFrame, documents: DataFrame, item: str, item_text: str, doc: str, doc_text: str, n: int = SEED) -> DataFrame:
@@ -60,7 +98,10 @@ def seeds(items: DataFrame, documents: DataFrame, item: str, item_text: str, doc
     own = cut_lineage(_grams(items.dropDuplicates([item]), item, item_text, n).withColumnRenamed("pos", "item_pos"))
     few = is_small(own, MAX_BROADCAST_SEEDS)
     asked = own.select("h").distinct()
-    met = cut_lineage(_grams(documents, doc, doc_text, n).join(F.broadcast(asked) if few else asked, "h").select(doc, "pos", "h"))
+    # Few item n-grams are shipped as one sorted array; more are joined.
+    wanted = np.sort(asked.toPandas()["h"].to_numpy(dtype=np.int64)) if few else None
+    theirs = _grams(documents, doc, doc_text, n, wanted)
+    met = cut_lineage(theirs if few else theirs.join(asked, "h").select(doc, "pos", "h"))
     # Corpus frequency of each item n-gram; those that never occur are rarest and cannot meet.
     often = met.groupBy("h").agg(F.count("*").alias("vezes"))
     ranked = own.join(F.broadcast(often) if few else often, "h", "left").select(item, "item_pos", "h", F.coalesce("vezes", F.lit(0)).alias("vezes"))

@@ -152,6 +152,18 @@ def test_leaks_against_brute_force(spark, rows):
     assert leakage.leaked(df.limit(0), spark.createDataFrame(items, "item_id long, texto string")).count() == 0
 
 
+def test_joined_seeds_equal_shipped_ones(spark, monkeypatch):
+    random.seed(21)
+    vocabulary = [f"p{i}" for i in range(30)]
+    items = [(i, " ".join(random.choice(vocabulary) for _ in range(25))) for i in range(6)]
+    docs = [(d, " ".join([*random.choices(vocabulary, k=20), *items[d % 6][1].split()[3:20], *random.choices(vocabulary, k=9)])) for d in range(30)]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, texto string")
+    shipped = {tuple(r) for r in leakage.leaks(a, b).collect()}
+    monkeypatch.setattr(leakage, "MAX_BROADCAST_SEEDS", 1)
+    monkeypatch.setattr(leakage, "MAX_BROADCAST_DOCUMENTS", 1)
+    assert shipped == {tuple(r) for r in leakage.leaks(a, b).collect()} and len(shipped) >= 30
+
+
 def edited(words, share, vocabulary):
     """A copy in which a share of the words is replaced, dropped or preceded by another word."""
     out = []
