@@ -154,12 +154,12 @@ def _sql_value(x: str) -> str:
     return rf"regexp_replace({marked}, '[^\p{{L}}\p{{N}}\x{{e001}}\x{{e002}}]+', '', 'g')"
 
 
-_P3 = rf"""WITH t AS (SELECT id, lower(evidencia) AS e, string_split(regexp_replace(lower(evidencia), '(^|[^\p{{L}}\p{{N}}])({"|".join(duplicates.LABELS)})\s*[:\x{{ff1a}}]', '\1' || chr(57344) || '\2' || chr(57347), 'g'), chr(57344)) AS p
+_P3_FIELDS = rf"""WITH t AS (SELECT id, lower(evidencia) AS e, string_split(regexp_replace(lower(evidencia), '(^|[^\p{{L}}\p{{N}}])({"|".join(duplicates.LABELS)})\s*[:\x{{ff1a}}]', '\1' || chr(57344) || '\2' || chr(57347), 'g'), chr(57344)) AS p
     FROM interacoes WHERE evidencia IS NOT NULL),
   k AS (SELECT id, CASE WHEN len(p) > 2 THEN list_sort(list_filter(list_transform(p, lambda x: CASE WHEN contains(x, chr(57347)) THEN split_part(x, chr(57347), 1) || ':' || {_sql_value("split_part(x, chr(57347), 2)")} ELSE {_sql_value("x")} END), lambda x: x <> ''))
-    ELSE list_filter([{_sql_value("e")}], lambda x: x <> '') END AS campos FROM t),
-  g AS (SELECT id, min(id) OVER (PARTITION BY campos) AS id_mantido FROM k WHERE len(campos) > 0)
-SELECT id_mantido, id AS id_copia FROM g WHERE id <> id_mantido"""
+    ELSE list_filter([{_sql_value("e")}], lambda x: x <> '') END AS campos FROM t)"""
+_P3 = f"{_P3_FIELDS}, g AS (SELECT id, min(id) OVER (PARTITION BY campos) AS id_mantido FROM k WHERE len(campos) > 0) SELECT id_mantido, id AS id_copia FROM g WHERE id <> id_mantido"
+_P3_COLLAPSED = f"{_P3_FIELDS} SELECT min(id) AS id_mantido, count(DISTINCT id) - 1 AS copias FROM k WHERE len(campos) > 0 GROUP BY campos"
 
 _P6 = """WITH v AS (SELECT id, CAST(embedding AS DOUBLE[]) AS e FROM bulas_interacoes_embeddings
     WHERE len(embedding) = 384 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
@@ -179,6 +179,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p2_found": f"SELECT id, 'alvo' AS campo FROM interacoes WHERE regexp_matches(alvo, '{_P2}') UNION SELECT id, 'evidencia' FROM interacoes WHERE regexp_matches(evidencia, '{_P2}')",
         "p3_found": _P3,
+        "p3_collapsed": _P3_COLLAPSED,
         "p6_found": _P6,
         "p9_found": _P9,
     }
