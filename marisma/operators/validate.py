@@ -63,13 +63,15 @@ def unresolved(rejected: DataFrame, accepted: DataFrame) -> DataFrame:
 
 
 def grounding_flags(summary: Column, evidence: Column) -> Column:
-    """struct of what a summary claims without its evidence: absence, safety, certainty."""
+    """struct of what a summary claims without its evidence: absence, safety, certainty; and a nasal route
+    of the evidence that it leaves out."""
     s, e = fold_name(summary), fold_name(evidence)
     only = lambda p: s.rlike(p) & ~e.rlike(p)
     return F.struct(
         only(r"\bnao (?:ha|existe\w*|foram?) (?:\w+ )?(?:interac|estudos|relatos|dados)|\bdesconhec\w+").alias("ausencia"),
         only(r"\bsegur[oa]s?\b|\bsem risco\b|\bpode ser usad[oa] sem\b").alias("seguranca"),
         (e.rlike(r"\bpodem?\b") & ~s.rlike(r"\bpodem?\b|\bpossivel\b|\bpossibilidade\b|\bcostuma\b|\btende\b")).alias("certeza"),
+        (e.rlike(r"\bnasal\b") & ~s.rlike(r"\bnasal\b")).alias("via_nasal"),
     )
 
 

@@ -505,7 +505,9 @@ def text_passages(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query()
+@query(rf"""SELECT id, regexp_matches(s, '{{a}}') AND NOT regexp_matches(e, '{{a}}') AS ausencia, regexp_matches(s, '{{b}}') AND NOT regexp_matches(e, '{{b}}') AS seguranca,
+    regexp_matches(e, '\bpodem?\b') AND NOT regexp_matches(s, '\bpodem?\b|\bpossivel\b|\bpossibilidade\b|\bcostuma\b|\btende\b') AS certeza, regexp_matches(e, '\bnasal\b') AND NOT regexp_matches(s, '\bnasal\b') AS via_nasal
+  FROM (SELECT id, {_fold('resumo')} AS s, {_fold('evidencia')} AS e FROM interacoes)""".replace("{a}", r"\bnao (?:ha|existe\w*|foram?) (?:\w+ )?(?:interac|estudos|relatos|dados)|\bdesconhec\w+").replace("{b}", r"\bsegur[oa]s?\b|\bsem risco\b|\bpode ser usad[oa] sem\b"))
 def summary_grounding(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "interacoes")
     return rows.select("id", validate.grounding_flags(F.col("resumo"), F.col("evidencia")).alias("_f")).select("id", "_f.*")
@@ -566,7 +568,16 @@ def unnamed_actives(spark: SparkSession, d: str) -> DataFrame:
     return composition.unnamed_actives(_composition(spark, d), "nome_normalizado", names, "valor")
 
 
-@query()
+_ABOUT = f"""(SELECT *, CASE WHEN len(citam) > 0 THEN citam ELSE [f] END AS proprias FROM (SELECT *, list_filter({_CLAUSES.format(x='f', end=vocabulary.CLAUSE_END)}, lambda c: (len({_words('t')}) > 0 AND contains({_padded('c')}, {_padded('t')}))
+    OR (len({_RELEVANT.format(w=_words('t'))}) > 0 AND len(list_filter({_RELEVANT.format(w=_words('t'))}, lambda w: NOT contains({_padded('c')}, {_padded('w')}))) = 0)) AS citam
+  FROM (SELECT id, processamento_id, evidencia, resumo_card, {_fold('evidencia')} AS f, {_target('alvo')} AS t FROM interacoes WHERE evidencia IS NOT NULL AND alvo IS NOT NULL)))"""
+
+
+@query(f"""WITH p AS (SELECT *, array_to_string(proprias, chr(31)) AS o, array_to_string(proprias, ' ') AS texto, coalesce(nullif(trim(resumo_card, ' '), '') IS NOT NULL, false) AS card FROM {_ABOUT}),
+    d AS (SELECT *, regexp_extract_all(CASE WHEN instr(texto, t) > 1 THEN substr(texto, 1, instr(texto, t) - 1) ELSE '' END, '{vocabulary.INCREASE}|{vocabulary.DECREASE}') AS v FROM p),
+    k AS (SELECT *, CASE WHEN len(v) = 0 THEN '' WHEN regexp_matches(v[len(v)], '{vocabulary.INCREASE}') THEN 'AUMENTO' ELSE 'REDUCAO' END AS direcao FROM d),
+    n AS (SELECT *, count(*) OVER (PARTITION BY processamento_id, evidencia, o) AS iguais, count(*) FILTER (WHERE card) OVER (PARTITION BY processamento_id, evidencia, texto, direcao) AS cards, count(*) OVER (PARTITION BY processamento_id, evidencia, texto, direcao) AS grupo FROM k)
+  SELECT id, CASE WHEN length(evidencia) <= 400 AND length(evidencia) - length(replace(evidencia, ',', '')) < 4 AND iguais = 1 THEN 'LITERAL' WHEN grupo > 1 AND cards - CAST(card AS INTEGER) > 0 THEN 'REAPROVEITADO' ELSE 'GERADO' END AS origem FROM n""")
 def card_origins(spark: SparkSession, d: str) -> DataFrame:
     return summaries.card_origins(table(spark, d, "interacoes"))
 
@@ -592,7 +603,8 @@ def consolidated_spans(spark: SparkSession, d: str) -> DataFrame:
     return kept.drop("_x")
 
 
-@query()
+@query(rf"""SELECT id, NOT length(trim(t, ' ')) BETWEEN 40 AND 600 AS tamanho, regexp_matches(t, '(?m)^\s*(?:[-*•]|\d+[.)])\s') AS lista, regexp_matches(t, '^\s*[\[{{]') AS json, len(g) - len(list_distinct(g)) >= 2 AS repeticao, NOT regexp_matches(trim(t, ' '), '[.!?)…]$') AS sem_fim
+  FROM (SELECT id, t, list_transform(range(1, greatest(len(w) - 2, 1)), lambda i: array_to_string(w[i : i + 3], ' ')) AS g FROM (SELECT id, resumo_card_simples AS t, {_words(_fold('resumo_card_simples'))} AS w FROM interacoes WHERE resumo_card_simples IS NOT NULL))""")
 def response_checks(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "interacoes").where(F.col("resumo_card_simples").isNotNull())
     return rows.select("id", summaries.response_flags(F.col("resumo_card_simples")).alias("_f")).select("id", "_f.*")
@@ -650,7 +662,12 @@ def mean_pooling(spark: SparkSession, d: str) -> DataFrame:
     return means.select("label", F.posexplode("media").alias("posicao", "_m")).select("label", "posicao", F.round("_m", 5).alias("media"))
 
 
-@query()
+@query(r"""WITH p AS (SELECT nome_normalizado, trecho, trim(x, E' \n\r\t') AS texto FROM (SELECT nome_normalizado, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS trecho FROM (
+      SELECT nome_normalizado, string_split(regexp_replace(regexp_replace(regexp_replace(trecho_interacoes, '\n[ \t]*\n', chr(1), 'g'), '\n([ \t]*[-•▪●◦*])', chr(1) || '\1', 'g'), '([.;])\s+([A-ZÁÉÍÓÚÂÊÔÃÕÇ\d•▪●◦*-])', '\1' || chr(1) || '\2', 'g'), chr(1)) AS v
+      FROM bulas_interacoes WHERE nullif(trim(trecho_interacoes, ' '), '') IS NOT NULL)) WHERE trim(x, E' \n\r\t') <> ''),
+    n AS (SELECT nome_normalizado, trecho, len(string_split_regex(texto, '\s+')) AS n, row_number() OVER (PARTITION BY nome_normalizado ORDER BY trecho) - 1 AS i FROM p),
+    l AS (SELECT nome_normalizado, list({'n': n, 'soma': n, 'i': i, 'cortes': [i]} ORDER BY i) AS l FROM n GROUP BY 1)
+  SELECT nome_normalizado, len(l) AS trechos, array_to_string(list_reduce(l, lambda a, x: {'n': x.n, 'soma': CASE WHEN a.soma + x.n > 120 THEN x.n ELSE a.soma + x.n END, 'i': x.i, 'cortes': CASE WHEN a.soma + x.n > 120 THEN list_concat(a.cortes, [x.i]) ELSE a.cortes END}).cortes, ',') AS inicios FROM l""")
 def token_windows(spark: SparkSession, d: str) -> DataFrame:
     """Passages of each text packed in order into windows of 120 words."""
     parts = passages.passages(table(spark, d, "bulas_interacoes"), "nome_normalizado", "trecho_interacoes")
