@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from marisma.functions import rules, text, vocabulary
 from marisma.operators import composition, layout, rewrites, sections, segments, summaries
 from marisma.queries import _CLAUSES, _RELEVANT, _composition, _fold, _lines, _padded, _target, _words, query
-from marisma.queries_identify import _NEEDED, _NUMBERS, _ROUTES, _SAID, _q
+from marisma.queries_identify import _NEEDED, _NUMBERS, _ROUTES, _SAID, _list, _q
 from marisma.session import spread, table
 
 # ---------------------------------------------------------------- units and windows
@@ -66,12 +66,47 @@ def file_names(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- sections
 
-@query()
+_LINE = rf"""trim(regexp_replace(replace(regexp_replace(texto, '[\x{{00a0}}\x{{2007}}\x{{202f}}]', ' ', 'g'), chr(173), ''), '[–—]', '-', 'g'), ' ')"""
+_SECTION_LINES = rf"""crus AS (SELECT nome_normalizado AS doc, list_filter(string_split_regex(trecho_interacoes, '\r?\n'), lambda x: trim(x, ' ') <> '') AS v FROM bulas_interacoes WHERE trecho_interacoes IS NOT NULL),
+    l0 AS (SELECT doc, unnest(v) AS texto, generate_subscripts(v, 1) - 1 AS n FROM crus),
+    l1 AS (SELECT *, trim(regexp_replace({_LINE}, '(\w)[.·]{{2,}}(\w)', '\1 \2', 'g'), ' ') AS x FROM l0),
+    linhas AS (SELECT doc, n, n // 60 AS pagina, texto, lower(strip_accents(trim(regexp_replace(CASE WHEN regexp_extract(x, '^(\d{{1,2}})\.\s+\d{{1,2}}\.', 1) <> '' AND regexp_extract(x, '^(\d{{1,2}})\.\s+\d{{1,2}}\.', 1) = regexp_extract(x, '^\d{{1,2}}\.\s+(\d{{1,2}})\.', 1)
+        THEN regexp_replace(x, '^(\d{{1,2}})\.\s+\d{{1,2}}\.\s*', '\1. ') ELSE x END, '\s+', ' ', 'g')))) AS normal FROM l1),
+    paginas AS (SELECT doc, pagina, string_agg(normal, ' ' ORDER BY n) AS t FROM linhas GROUP BY 1, 2),
+    administrativas AS (SELECT doc, pagina FROM paginas WHERE len(list_filter({list(vocabulary.ADMIN_HEADERS)!r}, lambda m: contains(t, m))) >= 3
+      OR (len(list_filter({list(vocabulary.ADMIN_FORMAL)!r}, lambda m: contains(t, m))) > 0 AND (contains(t, 'notificacao') OR contains(t, 'inclusao inicial')) AND (contains(t, 'rdc') OR contains(t, 'expediente'))
+        AND len(regexp_extract_all(t, '\b\d{{2}}/\d{{2}}/\d{{4}}\b')) >= 2 AND len(list_filter({list(vocabulary.ADMIN_LABELS)!r}, lambda m: regexp_matches(t, '\b' || m || '\b'))) >= 1)),
+    formas AS (SELECT *, concat_ws(' ', normal, lead(normal) OVER w) AS duas, concat_ws(' ', normal, lead(normal) OVER w, lead(normal, 2) OVER w) AS tres,
+        coalesce(max(CAST(regexp_matches(normal, '{sections.TOC_LABEL}') AS INTEGER)) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN 15 PRECEDING AND 1 PRECEDING), 0) = 1
+          OR sum(CAST(regexp_matches(texto, '{sections.TOC_ENTRY}') AS INTEGER)) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) >= 2 AS indice FROM linhas WINDOW w AS (PARTITION BY doc ORDER BY n)),
+    achadas AS (SELECT doc, n, CASE WHEN regexp_matches(tres, '{sections.TITLE}') THEN 3 WHEN regexp_matches(duas, '{sections.TITLE}') THEN 2 WHEN regexp_matches(normal, '{sections.TITLE}') THEN 1 END AS linhas,
+        CASE WHEN regexp_matches(tres, '{sections.TITLE}') THEN tres WHEN regexp_matches(duas, '{sections.TITLE}') THEN duas ELSE normal END AS titulo FROM formas f
+      WHERE NOT indice AND NOT EXISTS (SELECT 1 FROM administrativas a WHERE a.doc = f.doc AND a.pagina = f.pagina)),
+    primeiras AS (SELECT *, TRY_CAST(nullif(regexp_extract(titulo, '{sections.NUMBERED}', 1), '') AS INTEGER) AS numero FROM (
+      SELECT *, max(n + linhas) OVER (PARTITION BY doc ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS antes FROM achadas WHERE linhas IS NOT NULL) WHERE coalesce(antes, 0) <= n),
+    capitulos AS (SELECT doc, n, normal FROM linhas WHERE regexp_matches(normal, '{sections.NUMBERED}') AND upper(texto) = texto AND regexp_matches(texto, '\p{{L}}')),
+    titulos AS (SELECT doc, n, linhas, titulo, numero FROM (SELECT p.*, (SELECT arg_max(c.normal, c.n) FROM capitulos c WHERE c.doc = p.doc AND c.n < p.n) AS pai, max(CAST(numero IS NOT NULL AS INTEGER)) OVER (PARTITION BY doc) = 1 AS algum FROM primeiras p)
+      WHERE NOT (algum AND numero IS NULL AND len(list_filter({list(vocabulary.PARENT_TOPICS)!r}, lambda x: contains(coalesce(pai, ''), x))) > 0))"""
+_MAIN = rf"regexp_replace(regexp_replace({{x}}, '^\s*\d\d?(?:\s*[.)-]\s*|\s+)', ''), '^[ .:?-]+|[ .:?-]+$', '', 'g') IN {_list(vocabulary.MAIN_TITLES)}"
+
+
+@query(f"WITH {_SECTION_LINES} SELECT * FROM titulos")
 def section_titles(spark: SparkSession, d: str) -> DataFrame:
     return sections.title_lines(_lines(spark, d))
 
 
-@query()
+@query(rf"""WITH {_SECTION_LINES},
+    principais AS (SELECT doc, n, TRY_CAST(nullif(regexp_extract(normal, '{sections.NUMBERED}', 1), '') AS INTEGER) AS numero FROM (
+      SELECT *, regexp_replace(texto, '^\s*\d{{1,2}}\s*\)\s*', '') AS aberto, concat_ws(' ', lag(texto, 3) OVER w, lag(texto, 2) OVER w, lag(texto) OVER w) AS atras FROM linhas WINDOW w AS (PARTITION BY doc ORDER BY n))
+      WHERE ({_MAIN.format(x='normal')} OR (regexp_matches(normal, '{sections.NUMBERED}') AND upper(texto) = texto AND regexp_matches(texto, '\p{{L}}'))) AND NOT regexp_matches(normal, '^\d+\.\d')
+        AND length(replace(aberto, ')', '')) >= length(replace(aberto, '(', '')) AND length(replace(aberto, ']', '')) >= length(replace(aberto, '[', '')) AND NOT regexp_matches(atras, '(?i)\([^)]*(?:vide|veja|ver|consulte)[^)]*$')),
+    faixas AS (SELECT t.doc, t.n AS inicio, t.linhas, t.titulo, coalesce((SELECT min(p.n) FROM principais p WHERE p.doc = t.doc AND p.n >= t.n + t.linhas AND (p.numero IS NULL OR t.numero IS NULL OR p.numero > t.numero)), (SELECT max(n) + 1 FROM linhas l WHERE l.doc = t.doc)) AS fim FROM titulos t),
+    corpos AS (SELECT f.doc, f.inicio, f.fim, f.titulo, string_agg(l.texto, chr(10) ORDER BY l.n) AS texto, coalesce(list(l.normal ORDER BY l.n) FILTER (WHERE l.n >= f.inicio + f.linhas), []) AS p FROM faixas f JOIN linhas l ON l.doc = f.doc AND l.n >= f.inicio AND l.n < f.fim GROUP BY ALL),
+    conteudos AS (SELECT *, regexp_replace(array_to_string(p, ' '), '^[ :.–—-]+|[ :.–—-]+$', '', 'g') AS c FROM corpos)
+  SELECT doc, inicio, fim, titulo, texto, CASE WHEN c IN {_list(vocabulary.SHORT_ANSWERS)} THEN 'RESPOSTA_CURTA'
+    WHEN length(regexp_replace(c, '\s', '', 'g')) < 20 OR c = titulo OR (len(p) > 0 AND len(list_filter(p, lambda x: NOT (regexp_matches(x, '{sections.TITLE}') OR {_MAIN.format(x='x')} OR regexp_matches(x, '^[\d\s./:-]+$')))) = 0) THEN 'SOMENTE_TITULO'
+    WHEN len(regexp_extract_all(c, '[a-z]+')) > 0 AND ((regexp_matches(c, '\b(?:rdc|notificacao|expediente)\b') AND (regexp_matches(c, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b') OR regexp_matches(c, '\b(?:cx|fr|emb|hosp|plas|ct)\b')))
+      OR (len(list_filter(regexp_extract_all(c, '[a-z]+'), lambda w: NOT list_contains({sorted(set(vocabulary.LABEL_WORDS.split()))!r}, w))) = 0 AND regexp_matches(c, '\b(?:cx|fr|emb|hosp|plas|ct)\b') AND (regexp_matches(c, '\b(?:mg|ml|mcg)\b') OR regexp_matches(c, '\b\d{{1,2}}/\d{{1,2}}/\d{{4}}\b')))) THEN 'SOMENTE_ROTULOS' ELSE 'OK' END AS estado FROM conteudos""")
 def section_extraction(spark: SparkSession, d: str) -> DataFrame:
     return sections.sections(_lines(spark, d))
 
