@@ -106,5 +106,5 @@ def test_schema_differences(corpus):
 def test_amounts_lost_by_summaries(spark, tmp_path):
     data = [(1, "Use 5 mg.", "Use 5 mg ou 2.5 ml."), (2, None, "Use 7 mg."), (3, "Use 7 mg.", None), (4, "nada", "nada")]
     spark.createDataFrame(data, "id long, resumo string, evidencia string").write.parquet(f"{tmp_path}/interacoes.parquet")
-    got = {r.id: r.perdidas for r in queries.summary_missing_numbers(spark, str(tmp_path)).collect()}
+    got = {r.id: r.perdidas for r in queries.queries()["summary_missing_numbers"](spark, str(tmp_path)).collect()}
     assert got == {1: "2,5", 2: "7", 3: None, 4: ""}

@@ -12,14 +12,14 @@ def test_verdicts(spark):
     data = [
         (1, "Digoxina", "PRINCIPIO_ATIVO", "Digoxina aumenta o efeito.", "A digoxina aumenta o efeito.", None),
         (2, "varfarina", "PRINCIPIO_ATIVO", "x", "A varfarina aumenta.", "ALVO_E_ORIGEM"),
-        (3, "outros medicamentos", "MEDICAMENTO", "x", "Outros medicamentos.", "ALVO_GENERICO"),
+        (3, "drogas diversas", "MEDICAMENTO", "x", "Drogas diversas.", "ALVO_GENERICO"),
         (4, "testes da tireoide", "EXAME_LABORATORIAL", "Testes da tireoide alterados.", "Os testes da tireoide são alterados.", None),
         (5, "123", "OUTRO", "x", "y", "ALVO_INVALIDO"),
         (6, None, None, None, None, "ALVO_INVALIDO"),
         (7, "losec", "MEDICAMENTO", "x", "", "EVIDENCIA_NAO_ENCONTRADA"),
         (8, "losec", "MEDICAMENTO", "x", "Outro texto.", "ALVO_AUSENTE_NA_EVIDENCIA"),
         (9, "losec", "MEDICAMENTO", "x", "Losec não foi estudado.", "RELACAO_NAO_POSITIVA"),
-        (10, "losec", "MEDICAMENTO", "Losec reduz o efeito.", "Losec aumenta o efeito.", "RESUMO_INVENTA_DIRECAO"),
+        (10, "losec", "MEDICAMENTO", "Losec reduz o efeito.", "Losec aumenta o efeito.", "RESUMO_INVENTA_EFEITO"),
     ]
     df = spark.createDataFrame([(i, "marevan", a, t, r, e, "x") for i, a, t, r, e, _ in data], "id int, medicamento_origem string, alvo string, tipo_alvo string, resumo string, evidencia string, nome_anvisa string")
     assert {r.id: r.motivo for r in validate.target_verdicts(df, catalog).collect()} == {d[0]: d[5] for d in data}
