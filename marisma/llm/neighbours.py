@@ -24,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marisma.session import cut_lineage
+from marisma.session import cut_lineage, join_back
 
 LIST_SIZE = 1024
 SAMPLE_PER_LIST, MAX_SAMPLE, MAX_LISTS = 48, 32_768, 4096
 #: At most so many lists for a vector, and only those with distance <= RATIO x the least distance.
 REPLICAS, RATIO = 4, 1.12
 BLOCK = 2048
+#: Up to so many rows of classes of equal vectors are broadcast to find their members.
+MAX_BROADCAST_CLASSES = 200_000
 
 
 def usable(vector: Column, dimension: int) -> Column:
@@ -218,14 +220,18 @@ def nearest(df: DataFrame, key: str, vector: str, k: int = 5, dimension: int = 3
     reps = keyed.join(lead.select(F.col("classe").alias("id")), "id", "left_semi").dropDuplicates(["id"]).select("id", "v")
     near = cut_lineage(_class_neighbours(cut_lineage(reps), k, list_size))
 
+    # Only classes of several rows are expanded; such a class may hold any share of all rows.
     copied = first.where("n > 1").select("classe").distinct()
+    shared = cut_lineage(lead.join(copied, "classe", "left_semi"))
     between = near.select(F.col("id").alias("classe"), F.col("vizinho").alias("_outra"), "cosseno")
     across = between.join(first.where(F.col("n") <= k).select(F.col("classe").alias("_outra"), F.col("id").alias("vizinho")), "_outra").select("classe", "vizinho", "cosseno")
     # Rows without a copy are their class; the others get their equals first.
     single = across.join(copied, "classe", "left_anti").withColumnRenamed("classe", "id")
-    grouped = members.join(lead, "h").select("classe", "id").join(copied, "classe", "left_semi")
-    equal = grouped.join(first.select("classe", F.col("id").alias("vizinho")), "classe").where("id <> vizinho").select("id", "vizinho", F.lit(2.0).alias("cosseno"))
-    other = grouped.join(across, "classe").select("id", "vizinho", "cosseno")
+    grouped = cut_lineage(join_back(members, shared, ["h"], MAX_BROADCAST_CLASSES).select("classe", "id"))
+    leads = cut_lineage(first.select("classe", F.col("id").alias("vizinho")).join(shared.select("classe"), "classe", "left_semi"))
+    near_classes = cut_lineage(across.join(shared.select("classe"), "classe", "left_semi"))
+    equal = join_back(grouped, leads, ["classe"], MAX_BROADCAST_CLASSES).where("id <> vizinho").select("id", "vizinho", F.lit(2.0).alias("cosseno"))
+    other = join_back(grouped, near_classes, ["classe"], MAX_BROADCAST_CLASSES).select("id", "vizinho", "cosseno")
     return _top(single.select("id", "vizinho", "cosseno").unionByName(equal).unionByName(other), k).withColumn("cosseno", F.least("cosseno", F.lit(1.0)))
 
 

@@ -25,6 +25,7 @@ def true_pairs(ids, vectors, k):
 
 def test_recall_with_many_lists_blocks_and_copies(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "BLOCK", 64)
+    monkeypatch.setattr(neighbours, "MAX_BROADCAST_CLASSES", 1)
     rng = np.random.default_rng(0)
     centers = rng.normal(size=(60, 32))
     vectors = [(centers[i % 60] + 0.3 * rng.normal(size=32)).astype(np.float32) for i in range(900)]
