@@ -58,7 +58,7 @@ def is_small(df: DataFrame, most: int) -> bool:
 
 
 def join_back(rows: DataFrame, keyed: DataFrame, on: list[str], most: int) -> DataFrame:
-    """Inner join of many rows to ``keyed``, one row a key, where a key may hold any share of the rows.
+    """Inner join of many rows to ``keyed``, few rows a key, where a key may hold any share of the rows.
 
     Up to ``most`` keys are broadcast.  Beyond it only the keys of hot groups are: a group is hot from
     a quarter of a core's share of the rows, so there are at most four times as many as cores; the
