@@ -229,21 +229,19 @@ def relations(identified: DataFrame) -> DataFrame:
     return kept.select(key, "termo", "alvo", F.col("tipo").alias("tipo_alvo"), "trecho", "ordem", "evidencia", literal_summary(F.col("evidencia"), F.col("alvo")).alias("resumo"))
 
 
-def omitted(identified: DataFrame) -> DataFrame:
-    """(nome_normalizado, omitidas): accepted matches whose evidence is none of the kept ones."""
+def counts(identified: DataFrame) -> DataFrame:
+    """(nome_normalizado, relacoes, omitidas): kept evidences of each origin, and accepted matches whose
+    evidence is none of the kept ones; one pass over the matches."""
     key = "nome_normalizado"
-    kept = relations(identified).select(key, "termo", F.lower(compact(F.col("evidencia"))).alias("_q")).distinct()
-    rest = with_evidence(identified).join(kept, [key, "termo", "_q"], "left_anti")
-    return rest.groupBy(key).agg(F.count("*").alias("omitidas"))
+    groups = with_evidence(identified).groupBy(key, "termo", "tipo", "_q").agg(F.min(F.struct("trecho", "inicio")).alias("_m"), F.count("*").alias("_n"))
+    ranked = groups.withColumn("_r", F.row_number().over(Window.partitionBy(key, "termo").orderBy("_m")))
+    return ranked.groupBy(key).agg(F.count_if(F.col("_r") <= KEPT).alias("relacoes"), F.coalesce(F.sum(F.when(F.col("_r") > KEPT, F.col("_n"))), F.lit(0)).alias("omitidas"))
 
 
-def run_status(source: DataFrame, found: DataFrame, left_out: DataFrame | None = None) -> DataFrame:
-    """(nome_normalizado, status, relacoes, aviso) of every source: FALHA for a blank text; the notice
-    says how many matches ``left_out`` counts beyond the kept evidences."""
-    counted = found.groupBy("nome_normalizado").agg(F.count("*").alias("_n"))
+def run_status(source: DataFrame, counted: DataFrame) -> DataFrame:
+    """(nome_normalizado, status, relacoes, aviso) of every source by its :func:`counts`: FALHA for a blank
+    text; the notice says how many matches stand beyond the kept evidences."""
     rows = source.select("nome_normalizado", F.coalesce(not_blank(F.col("trecho_interacoes")), F.lit(False)).alias("_t")).join(counted, "nome_normalizado", "left")
-    if left_out is not None:
-        rows = rows.join(left_out, "nome_normalizado", "left")
-    status = F.when(~F.col("_t"), "FALHA").when(F.col("_n").isNull(), "CONCLUIDO_SEM_RELACOES").otherwise("CONCLUIDO_COM_RELACOES")
-    notice = F.when(F.col("omitidas") > 0, F.format_string(f"%d ocorrência(s) além de {KEPT} trechos por nome.", "omitidas")) if left_out is not None else F.lit(None).cast("string")
-    return rows.select("nome_normalizado", status.alias("status"), F.coalesce("_n", F.lit(0)).alias("relacoes"), notice.alias("aviso"))
+    status = F.when(~F.col("_t"), "FALHA").when(F.coalesce("relacoes", F.lit(0)) == 0, "CONCLUIDO_SEM_RELACOES").otherwise("CONCLUIDO_COM_RELACOES")
+    notice = F.when(F.col("omitidas") > 0, F.format_string(f"%d ocorrência(s) além de {KEPT} trechos por nome.", "omitidas"))
+    return rows.select("nome_normalizado", status.alias("status"), F.coalesce("relacoes", F.lit(0)).alias("relacoes"), notice.alias("aviso"))

@@ -43,9 +43,10 @@ def identification(c: Corpus, version: str | None = None, names: list[str] | Non
         due = due.orderBy("ja_processado", "nome_normalizado").limit(limit)
     due = cut_lineage(due)
     source = c.source.join(due.select("nome_normalizado"), "nome_normalizado", "left_semi")
-    found = identify.identify(source, c.catalog)
+    # Relations, counts and rejections read the judged matches; rules are applied once.
+    found = cut_lineage(identify.identify(source, c.catalog))
     relations = cut_lineage(identify.relations(found))
-    status = identify.run_status(source, relations, identify.omitted(found))
+    status = identify.run_status(source, identify.counts(found))
     rejected = identify.rejections(found).groupBy("nome_normalizado").agg(F.count("*").alias("_r"))
     run = status.join(due, "nome_normalizado").join(rejected, "nome_normalizado", "left").select(
         F.col("nome_normalizado").alias(ORIGIN), F.lit(version).alias("versao_processamento"), "hash_texto", "status", F.col("relacoes").cast("int").alias("quantidade_relacoes"),

@@ -148,8 +148,7 @@ def evidence_cut(spark: SparkSession, d: str) -> DataFrame:
     coalesce(c.n, 0) AS relacoes, CASE WHEN o.n > 0 THEN o.n || ' ocorrência(s) além de 3 trechos por nome.' END AS aviso
   FROM bulas_interacoes s LEFT JOIN c USING (nome_normalizado) LEFT JOIN o USING (nome_normalizado)""")
 def identification_status(spark: SparkSession, d: str) -> DataFrame:
-    found = _found(spark, d)
-    return identify.run_status(table(spark, d, "bulas_interacoes"), identify.relations(found), identify.omitted(found))
+    return identify.run_status(table(spark, d, "bulas_interacoes"), identify.counts(_found(spark, d)))
 
 
 @query(f"WITH RECURSIVE {_MENTIONS} SELECT coalesce(v[1], 'ACEITO') AS motivo, count(*) AS n FROM mencoes GROUP BY 1")

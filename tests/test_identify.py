@@ -64,7 +64,7 @@ def test_list_item_and_links(spark, entries):
     rel = identify.relations(found)
     (r,) = rel.collect()
     assert (r.alvo, r.tipo_alvo, r.evidencia, r.resumo) == ("Varfarina", "PRINCIPIO_ATIVO", "- Varfarina: aumento do risco de sangramento.", "aumento do risco de sangramento.")
-    assert {tuple(x) for x in identify.run_status(source, rel).select("nome_normalizado", "status").collect()} == {("produto teste", "CONCLUIDO_COM_RELACOES"), ("marevan", "FALHA"), ("digoxina", "CONCLUIDO_SEM_RELACOES")}
+    assert {tuple(x) for x in identify.run_status(source, identify.counts(found)).select("nome_normalizado", "status").collect()} == {("produto teste", "CONCLUIDO_COM_RELACOES"), ("marevan", "FALHA"), ("digoxina", "CONCLUIDO_SEM_RELACOES")}
 
 
 def test_structured_blocks(spark, entries):
@@ -93,8 +93,8 @@ def test_at_most_three_evidences(spark, entries):
     rel = identify.relations(identify.identify(source, entries)).collect()
     assert len(rel) == 3 and [r.ordem for r in sorted(rel, key=lambda r: r.trecho)] == [1, 2, 3]
     assert all(r.evidencia in text for r in rel)
-    (left,) = identify.omitted(identify.identify(source, entries)).collect()
-    assert left.omitidas == 2
+    (left,) = identify.counts(identify.identify(source, entries)).collect()
+    assert (left.relacoes, left.omitidas) == (3, 2)
 
 
 def test_long_passages_are_cut_around_the_target(spark, entries):
