@@ -79,7 +79,7 @@ def consolidated(mentions: DataFrame, key: list[str], start: str, end: str, text
     """Mentions of each key without those that repeat another's text or lie inside another's span;
     the widest and, among equals, the first is kept."""
     folded = mentions.withColumn("_t", F.sha2(fold_name(F.col(text)), 256))
-    same = Window.partitionBy(*key, "_t").orderBy(start, F.desc(end))
+    same = Window.partitionBy(*key, "_t").orderBy(F.desc(F.col(end) - F.col(start)), start)
     once = folded.withColumn("_r", F.row_number().over(same)).where("_r = 1")
     wide = Window.partitionBy(*key).orderBy(start, F.desc(end)).rowsBetween(Window.unboundedPreceding, -1)
     kept = once.withColumn("_m", F.max(end).over(wide)).where(F.col("_m").isNull() | (F.col(end) > F.col("_m")))

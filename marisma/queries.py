@@ -617,7 +617,7 @@ def plain_validity(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("id", summaries.plain_is_current(F.col("resumo_card_simples"), F.col("reescrita_controle"), F.sha2("evidencia", 256)).alias("atual"))
 
 
-@query()
+@query("""SELECT id, controle, sha256(controle) AS hash FROM (SELECT id, CAST(json_merge_patch(coalesce(nullif(reescrita_controle, ''), '{}'), '{"entrada_invalidada":null,"ultima_tentativa":{"status":"PENDENTE"}}') AS VARCHAR) AS controle FROM interacoes)""")
 def control_merge(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "interacoes")
     merged = summaries.json_merge(F.col("reescrita_controle"), F.lit('{"ultima_tentativa":{"status":"PENDENTE"}}'))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marisma.functions import rules, text, vocabulary
 from marisma.operators import composition, layout, rewrites, sections, segments, summaries
-from marisma.queries import _CLAUSES, _RELEVANT, _composition, _fold, _lines, _padded, _target, _words, query
+from marisma.queries import ORACLES, _CLAUSES, _RELEVANT, _composition, _fold, _lines, _padded, _target, _words, query
 from marisma.queries_identify import _NEEDED, _NUMBERS, _ROUTES, _SAID, _list, _q
 from marisma.session import spread, table
 
@@ -111,7 +111,11 @@ def section_extraction(spark: SparkSession, d: str) -> DataFrame:
     return sections.sections(_lines(spark, d))
 
 
-@query()
+@query(f"""WITH s AS ({ORACLES["section_extraction"]}),
+    t AS (SELECT nome_normalizado AS doc, status_extracao, coalesce(list_sum(list_transform(list_filter(string_split_regex(trecho_interacoes, '\\r?\\n'), lambda x: trim(x, ' ') <> ''), lambda x: length(x))), 0) AS n FROM bulas_interacoes),
+    v AS (SELECT doc, count(*) FILTER (WHERE estado IN ('OK', 'RESPOSTA_CURTA')) AS validas, bool_and(estado IN ('SOMENTE_TITULO', 'SOMENTE_ROTULOS')) AS so FROM s GROUP BY 1)
+  SELECT t.doc, CASE WHEN t.status_extracao = 'ERRO' THEN 'PDF_INVALIDO' WHEN t.n < 40 THEN 'PDF_SEM_TEXTO' WHEN v.doc IS NULL THEN 'SEM_SECAO_INTERACOES' WHEN v.validas = 0 THEN CASE WHEN v.so THEN 'SECAO_SOMENTE_TITULO' ELSE 'REVISAO_MANUAL' END ELSE 'CONCLUIDO' END AS status
+  FROM t LEFT JOIN v ON v.doc = t.doc""")
 def extraction_statuses(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "bulas_interacoes").select(F.col("nome_normalizado").alias("doc"), F.when(F.col("status_extracao") == "ERRO", "PDF_INVALIDO").alias("falha"), F.lit(0).alias("paginas_ocr"))
     return sections.extraction_status(docs, _lines(spark, d)).select("doc", "status")

@@ -21,14 +21,19 @@ def read_jdbc(spark: SparkSession, url: str, name: str, key: str, bounds: tuple[
 
 
 def read_names(spark: SparkSession, path: str, column: str, sep: str = ";") -> DataFrame:
-    """Names of a delimited sheet, normalised: (nome, original, vezes); the first spelling by file
-    order is kept, blank rows are skipped."""
+    """Names of a delimited sheet, normalised: (nome, original, vezes, ordem); the first spelling by file
+    order is kept and ``ordem`` is its place, blank rows are skipped.  A row without a name that has
+    other cells is an error."""
     sheet = spark.read.csv(path, sep=sep, header=True, encoding="utf-8")
     first = sheet.columns[0]
     sheet = sheet.withColumnRenamed(first, first.lstrip("﻿"))
+    other = F.array(*[F.trim(F.coalesce(F.col(c), F.lit(""))) for c in sheet.columns if c != column])
+    nameless = F.trim(F.coalesce(F.col(column), F.lit(""))) == ""
+    if not sheet.where(nameless & F.exists(other, lambda x: x != "")).isEmpty():
+        raise ValueError(f"a row has no {column}")
     rows = sheet.select(F.col(column).alias("original"), F.monotonically_increasing_id().alias("_p"))
     rows = rows.withColumn("nome", fold_name("original")).where(F.coalesce("nome", F.lit("")) != "")
-    return rows.groupBy("nome").agg(F.min_by("original", "_p").alias("original"), F.count("*").alias("vezes"))
+    return rows.groupBy("nome").agg(F.min_by("original", "_p").alias("original"), F.count("*").alias("vezes"), F.min("_p").alias("ordem"))
 
 
 def read_terms(spark: SparkSession, path: str) -> DataFrame:

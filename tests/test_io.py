@@ -8,8 +8,12 @@ from marisma.streaming import incremental
 
 
 def test_names_and_terms(spark, tmp_path):
-    (tmp_path / "n.csv").write_text("Nome;Registro\nFinasterida;1\nFINASTERIDA;2\nÁcido Fólico;3\nacido   folico;4\n ;5\n", encoding="utf-8")
-    assert {(r.nome, r.vezes) for r in tables.read_names(spark, str(tmp_path / "n.csv"), "Nome").collect()} == {("finasterida", 2), ("acido folico", 2)}
+    (tmp_path / "n.csv").write_text("Nome;Registro\nFinasterida;1\nFINASTERIDA;2\nÁcido Fólico;3\nacido   folico;4\n ; \n", encoding="utf-8")
+    names = tables.read_names(spark, str(tmp_path / "n.csv"), "Nome").orderBy("ordem").collect()
+    assert [(r.nome, r.original, r.vezes) for r in names] == [("finasterida", "Finasterida", 2), ("acido folico", "Ácido Fólico", 2)]
+    (tmp_path / "e.csv").write_text("Nome;Registro\n ;5\n", encoding="utf-8")
+    with pytest.raises(ValueError, match="Nome"):
+        tables.read_names(spark, str(tmp_path / "e.csv"), "Nome")
     (tmp_path / "t.txt").write_text("# nota\nÁgua # comum\n\nágua\n", encoding="utf-8")
     assert [r.termo for r in tables.read_terms(spark, str(tmp_path / "t.txt")).collect()] == ["agua"]
 
