@@ -9,7 +9,8 @@ and a letter of another alphabet inside a Latin word is its Latin prototype.  Si
 
 Prototypes come from the public confusables data, which the session's ICU library carries
 (:func:`prototypes`); a short table of fixed values goes before it, for letters whose lower-case
-form that data keeps apart, and stands alone where there is no such library.
+form that data keeps apart.  Data that cannot be read is an error: by the fixed values alone fewer
+texts would look the same, and nothing in the rows would say so.
 
 A case is a text that another text of its skeleton class shows in the usual characters: its own
 consistent form is put into the class, so that a damaged text whose clean twin is stored nowhere is
@@ -88,15 +89,16 @@ FIXED = Prototypes({ord(k): v for k, v in LOOKALIKES.items()}, {ord(k): v for k,
 @lru_cache(maxsize=1)
 def prototypes(spark: SparkSession) -> Prototypes:
     """Prototypes of all characters outside the ideographic scripts, from the confusables data of the
-    ICU library in the session's JVM, read in one call on the driver."""
+    ICU library in the session's JVM, read in one call on the driver.  Spark SQL needs that library
+    itself, so there is no session without it; any failure to read it is raised, and not kept."""
     chars = [chr(i) for i in (*range(0x21, 0x3400), *range(0xA4D0, 0xAC00), *range(0xF900, 0x17000), *range(0x1D400, 0x1D800), *range(0x1F100, 0x1F200)) if unicodedata.category(chr(i))[0] in "LNPS"]
     try:
         checker = spark.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build()
         looks = checker.getSkeleton("\n".join(chars)).split("\n")
-    except Exception:  # no such class in this JVM
-        return FIXED
+    except Exception as cause:
+        raise RuntimeError("the confusables data of the ICU library in the session's JVM cannot be read") from cause
     if len(looks) != len(chars):
-        return FIXED
+        raise RuntimeError(f"the confusables data gave {len(looks)} prototypes for {len(chars)} characters")
     look = dict(zip(chars, looks))
     latin: dict[str, list[str]] = {}
     for c in [*string.ascii_letters, *(c for c in chars if c > "z" and c.isalpha() and unicodedata.name(c, "").startswith("LATIN"))]:

@@ -3,6 +3,9 @@
 import random
 import re
 import unicodedata
+from unittest.mock import Mock
+
+import pytest
 
 from marisma.llm import canonical, confusables, duplicates, queries, truncation
 
@@ -36,6 +39,20 @@ def test_prototypes_of_many_scripts(spark):
     assert confusables.skeleton("rex", known) != confusables.skeleton("réx", known)
 
 
+def test_prototypes_that_cannot_be_read_are_an_error(spark, monkeypatch):
+    read, absent, short = confusables.prototypes, Mock(), Mock()
+    absent.sparkContext._jvm = spark.sparkContext._jvm.no.such
+    short.sparkContext._jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton.return_value = "a\nb"
+    df = spark.createDataFrame([(1, "Ꭰrex"), (2, "Drex")], "id long, valor string")
+    for broken in (absent, short):
+        monkeypatch.setattr(confusables, "prototypes", lambda _, b=broken: read(b))
+        for query in (lambda: confusables.defects(df, "id", ["valor"]), lambda: confusables.skeleton_groups(df, "valor"), lambda: confusables.with_consistent_form(df, "valor", "forma")):
+            with pytest.raises(RuntimeError, match="confusables data"):
+                query()
+    monkeypatch.undo()
+    assert [tuple(r) for r in confusables.skeleton_groups(df, "valor").collect()] == [("Drex", "Drex", 2, 2)]
+
+
 def test_defects_in_the_jvm_and_python_agree(spark):
     pool = "abc éã βοаａﬁ́​   \n\t®ª²12"
     random.seed(1)
